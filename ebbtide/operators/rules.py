@@ -154,6 +154,13 @@ def accept(checked: DataFrame, mode: str = "quarantine", show: int = 20) -> tupl
     return valid_rows(checked), rejects(checked)
 
 
+def judge_batches(checked: DataFrame, batch: str, size: int = 100) -> DataFrame:
+    """All-or-nothing per batch: accepted when no record is invalid and none are too many."""
+    return checked.groupBy(batch).agg(
+        F.count("*").alias("records"), F.count_if(F.size(ERRORS) > 0).alias("invalid"),
+    ).withColumn("accepted", (F.col("invalid") == 0) & (F.col("records") <= size))
+
+
 def limit_batch(df: DataFrame, size: int = 100) -> DataFrame:
     """Refuse a batch above ``size`` records or without any. Looks at no more than size + 1 rows."""
     found = df.limit(size + 1).count()
