@@ -1,4 +1,4 @@
 """Registered queries with the SQL that checks them, by area."""
 
 from catalog.base import ORACLES, QUERIES  # noqa: F401
-from catalog import features, quality  # noqa: F401
+from catalog import evaluating, features, models, profiling, quality, scoring  # noqa: F401

@@ -18,7 +18,8 @@ SWEEP = grid(0.01, 0.9, 90)
 COST_FP, COST_FN = 50, 600
 
 
-def _cells(label="label", prediction="prediction") -> list[Column]:
+def cells(label="label", prediction="prediction") -> list[Column]:
+    """The four confusion counts as aggregates."""
     y, p = F.col(label) == 1, F.col(prediction) == 1
     return [F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
             F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp")]
@@ -31,7 +32,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 def confusion(df: DataFrame) -> DataFrame:
     """One row: tn, fp, fn, tp."""
-    return df.agg(*_cells())
+    return df.agg(*cells())
 
 
 def confusion_matrix(df: DataFrame, normalize: bool = False) -> DataFrame:
@@ -39,9 +40,9 @@ def confusion_matrix(df: DataFrame, normalize: bool = False) -> DataFrame:
     c = {n: F.col(n) for n in ("tn", "fp", "fn", "tp")}
     rows = [(0, 0, c["tn"], c["tn"] + c["fp"]), (0, 1, c["fp"], c["tn"] + c["fp"]),
             (1, 0, c["fn"], c["fn"] + c["tp"]), (1, 1, c["tp"], c["fn"] + c["tp"])]
-    cells = [F.struct(F.lit(y).alias("true_label"), F.lit(p).alias("predicted_label"),
+    rows = [F.struct(F.lit(y).alias("true_label"), F.lit(p).alias("predicted_label"),
                       (_ratio(v, t) if normalize else v).alias("value")) for y, p, v, t in rows]
-    return confusion(df).select(F.inline(F.array(*cells)))
+    return confusion(df).select(F.inline(F.array(*rows)))
 
 
 def rates(counts: DataFrame) -> DataFrame:
@@ -85,9 +86,9 @@ def classification_report(df: DataFrame) -> DataFrame:
         "macro avg": tuple((x + y) / 2 for x, y in zip(a[:3], b[:3])) + (total,),
         "weighted avg": tuple(_ratio(x * n0 + y * n1, total) for x, y in zip(a[:3], b[:3])) + (total,),
     }
-    cells = [F.struct(F.lit(name).alias("name"), p.alias("precision"), r.alias("recall"), f.alias("f1"), s.alias("support"))
-             for name, (p, r, f, s) in rows.items()]
-    return confusion(df).select(F.inline(F.array(*cells)))
+    structs = [F.struct(F.lit(name).alias("name"), p.alias("precision"), r.alias("recall"), f.alias("f1"), s.alias("support"))
+               for name, (p, r, f, s) in rows.items()]
+    return confusion(df).select(F.inline(F.array(*structs)))
 
 
 def calibration(df: DataFrame, bins: int = 10, label: str = "label", score: str = "probability") -> DataFrame:
@@ -195,11 +196,11 @@ GATES = {
 def performance_gate(measured: DataFrame, rules: dict[str, float] | None = None) -> DataFrame:
     """One row per criterion; accuracy is listed for information and always passes."""
     rules = rules or GATES["default"]
-    cells = [F.struct(F.lit(m).alias("criterion"), F.col(m).alias("value"), F.lit(float(t)).alias("threshold"),
+    criteria = [F.struct(F.lit(m).alias("criterion"), F.col(m).alias("value"), F.lit(float(t)).alias("threshold"),
                       F.coalesce(F.col(m) >= t, F.lit(False)).alias("passed")) for m, t in rules.items()]
-    cells.append(F.struct(F.lit("accuracy").alias("criterion"), F.col("accuracy").alias("value"),
+    criteria.append(F.struct(F.lit("accuracy").alias("criterion"), F.col("accuracy").alias("value"),
                           F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("passed")))
-    return measured.select(F.inline(F.array(*cells)))
+    return measured.select(F.inline(F.array(*criteria)))
 
 
 def sanity_gate(df: DataFrame, score: str = "probability") -> DataFrame:

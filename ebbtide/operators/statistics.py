@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.running import range_bounds, running_totals
@@ -30,16 +30,25 @@ def quantiles(
     One aggregation for all columns whose distinct count is proven small. The other
     columns are reduced to value counts and ranked by running totals, one per column.
     """
-    counted = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
-    small = [c for c in columns if counted[c] * SKETCH_MARGIN <= distinct_limit]
+    small = small_columns(df, columns, distinct_limit)
     parts = [_buffered_quantiles(df, small, probs, by)] if small else []
     parts += [_ranked_quantiles(df, c, probs, by, distinct_limit) for c in columns if c not in small]
     return reduce(DataFrame.unionByName, parts)
 
 
+def small_columns(df: DataFrame, columns: list[str], distinct_limit: int = DISTINCT_LIMIT) -> list[str]:
+    """Columns with few enough distinct values for one ``percentile`` buffer."""
+    counted = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    return [c for c in columns if counted[c] * SKETCH_MARGIN <= distinct_limit]
+
+
+def percentiles(column: str, probs: list[float]) -> Column:
+    return F.percentile(F.col(f"`{column}`").cast("double"), F.array(*map(F.lit, probs)))
+
+
 def _buffered_quantiles(df, columns, probs, by) -> DataFrame:
     wide = df.groupBy(*by).agg(*[
-        F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs))).alias(f"_q{i}")
+        percentiles(c, probs).alias(f"_q{i}")
         for i, c in enumerate(columns)
     ])
     cells = [
@@ -102,7 +111,7 @@ def fit_statistics(df: DataFrame, moments=(), quantile_requests=(), categories=(
             raise ValueError(f"{c} has about {row[f'distinct:{c}']} values and is not categorical")
     small = [c for c in ranked if row[f"distinct:{c}"] * SKETCH_MARGIN <= DISTINCT_LIMIT]
     probs = {c: sorted({p for name, p in wanted if name == c}) for c in ranked}
-    second = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs[c]))).alias(f"q:{c}") for c in small]
+    second = [percentiles(c, probs[c]).alias(f"q:{c}") for c in small]
     second += [F.sort_array(F.collect_set(c)).alias(f"values:{c}") for c in categories]
     if second:
         row = df.agg(*second).first()

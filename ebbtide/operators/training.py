@@ -136,6 +136,15 @@ class _Task:
                              featureSubsetStrategy=str(settings.get("colsample", "all")), **trees, **common)
 
 
+def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """One row: the balanced weight of each class and the negatives per positive."""
+    positives, negatives = F.col("positives"), F.col("negatives")
+    return class_balance(df, label).select(
+        F.try_divide(positives + negatives, 2 * positives).alias("positive_weight"),
+        F.try_divide(positives + negatives, 2 * negatives).alias("negative_weight"),
+        F.col("ratio").alias("positive_ratio"))
+
+
 def profile_settings(profile: str | dict, **changes) -> dict:
     return {**(PROFILES[profile] if isinstance(profile, str) else profile), **changes}
 
