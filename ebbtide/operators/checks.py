@@ -101,13 +101,20 @@ def _within(value: Column, args: dict) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def _number(column: str, df: DataFrame) -> Column:
+    """The column for range checks; text cells that are no number become NULL."""
+    c = F.col(f"`{column}`")
+    return c.try_cast("double") if isinstance(df.schema[column].dataType, T.StringType) else c
+
+
 def _unexpected(check: Check, df: DataFrame) -> Column | None:
     """Row condition that makes a cell unexpected; NULL cells count only for ``not_null``."""
     c = F.col(f"`{check.column}`")
     if check.kind == "not_null":
         return c.isNull()
     if check.kind == "between":
-        return c.isNotNull() & ~_within(c, check.args)
+        # A text cell that is no number lies in no range.
+        return c.isNotNull() & ~F.coalesce(_within(_number(check.column, df), check.args), F.lit(False))
     if check.kind == "in_set":
         return c.isNotNull() & ~c.isin(*check.args["value_set"])
     if check.kind == "type" and isinstance(df.schema[check.column].dataType, T.StringType):
@@ -144,7 +151,7 @@ def run_suite(df: DataFrame, suite: list[Check]) -> DataFrame:
             suite_rows.append(_result(i, check, _within(F.col("_rows"), check.args), F.col("_rows"), observed=F.col("_rows")))
         elif check.kind in ("mean_between", "share_between"):
             c = F.col(f"`{check.column}`")
-            totals[f"_m{i}"] = F.avg(c if check.kind == "mean_between" else (c == check.args["value"]).cast("int"))
+            totals[f"_m{i}"] = F.avg(_number(check.column, df) if check.kind == "mean_between" else (c == check.args["value"]).cast("int"))
             suite_rows.append(_result(i, check, _within(F.col(f"_m{i}"), check.args), F.col("_rows"), observed=F.col(f"_m{i}")))
         elif check.kind == "unique":
             uniques.append((i, check))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.operators.statistics import CATEGORY_LIMIT
-
 # Hex digits of the hash that name a slice: 4096 slices, so ranking one slice touches
 # about 1/4096 of the rows.
 SLICE_DIGITS = 3
+# A stratifying label has few classes; the counts that reach the driver stay small.
+CLASS_LIMIT = 50
 # Largest sample taken by a sorted limit; larger ones use the cut-off of the split.
 SORTED_SAMPLE = 10_000
 
@@ -33,17 +34,23 @@ def class_quotas(counts: dict, test_size: float) -> dict:
     return {c: counts[c] - quota[c] for c in counts}
 
 
-def hash_cutoffs(df: DataFrame, key: str, strata: Column, quotas: dict, seed: int) -> dict:
-    """For each class the last (hash, id) inside its quota.
+def hash_cutoffs(df: DataFrame, key: str, strata: Column, quota_of, seed: int) -> dict:
+    """For each class the last (hash, id) inside its quota; ``quota_of`` maps class sizes to quotas.
 
     One counting job over class and hash slice, then one job that ranks only the slice
     in which each quota ends. No class is ever sorted as a whole.
     """
     hashed = df.select(strata.alias("_class"), F.col(key).cast("string").alias("_id"), row_hash(key, seed).alias("_hash")) \
         .withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
-    counts = hashed.groupBy("_class", "_slice").agg(F.count("*").alias("n")).collect()  # classes x 4096 at most
+    bound = CLASS_LIMIT * 16 ** SLICE_DIGITS
+    counts = hashed.groupBy("_class", "_slice").agg(F.count("*").alias("n")).limit(bound + 1).collect()
+    sizes = Counter()
+    for r in counts:
+        sizes[r["_class"]] += r["n"]
+    if len(counts) > bound or len(sizes) > CLASS_LIMIT:
+        raise ValueError(f"more than {CLASS_LIMIT} classes: not a class label")
     wanted = {}
-    for c, quota in quotas.items():
+    for c, quota in quota_of(sizes).items():
         left = quota
         for r in sorted((r for r in counts if r["_class"] == c), key=lambda r: r["_slice"]):
             if 0 < left <= r["n"]:
@@ -67,14 +74,10 @@ def hash_cutoffs(df: DataFrame, key: str, strata: Column, quotas: dict, seed: in
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` = train | test with exact class shares.
 
-    ``key`` must be unique. Finding the cut-offs takes three light jobs; marking the
-    rows is a projection without a shuffle, so reading one part later stays cheap.
+    ``key`` must be unique. Finding the cut-offs takes two light jobs; marking the rows
+    is a projection without a shuffle, so reading one part later stays cheap.
     """
-    per_class = df.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("n")).limit(CATEGORY_LIMIT + 1).collect()
-    if len(per_class) > CATEGORY_LIMIT:
-        raise ValueError(f"{label} has more than {CATEGORY_LIMIT} values and is not a class label")
-    counts = {r["c"]: r["n"] for r in per_class}
-    cutoffs = hash_cutoffs(df, key, F.col(label), class_quotas(counts, test_size), seed)
+    cutoffs = hash_cutoffs(df, key, F.col(label), lambda sizes: class_quotas(sizes, test_size), seed)
     test = F.lit(False)
     here, identity = row_hash(key, seed), F.col(key).cast("string")
     for c, (hash_, id_) in cutoffs.items():
@@ -93,9 +96,9 @@ def sample_rows(df: DataFrame, n: int | None, key: str, seed: int = 42) -> DataF
         return df
     if n <= SORTED_SAMPLE:
         return df.withColumn("_hash", row_hash(key, seed)).orderBy("_hash", key).limit(n).drop("_hash")
-    everything = F.lit("all")
-    if df.count() <= n:
+    cutoffs = hash_cutoffs(df, key, F.lit("all"), lambda sizes: {"all": n} if sizes["all"] > n else {}, seed)
+    if not cutoffs:
         return df
-    hash_, id_ = hash_cutoffs(df, key, everything, {"all": n}, seed)["all"]
+    hash_, id_ = cutoffs["all"]
     here = row_hash(key, seed)
     return df.filter((here < hash_) | ((here == hash_) & (F.col(key).cast("string") <= id_)))

@@ -27,6 +27,7 @@ VECTOR = "_features"
 MAX_DEPTH = 30      # the deepest tree MLlib grows; "unlimited" means this
 MAX_BINS = 64
 FOLDS = 5
+ROWS_PER_PARTITION = 20_000
 
 # The hyper-parameters of the compared runs.
 PROFILES = {
@@ -157,26 +158,37 @@ def _fit(train: DataFrame, task: _Task, settings: dict, tag: str):
     return classifier.fit(weighted)
 
 
-def _in_parallel(jobs: list, threads: int) -> list:
+def _in_parallel(df: DataFrame, jobs: list, threads: int) -> list:
     """Run independent fits as concurrent Spark jobs; the cluster shares its slots among them."""
     with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(inheritable_thread_target(df.sparkSession)(lambda job: job()), jobs)
 
 
-def _assembled(train: DataFrame, features, extra=()) -> DataFrame:
-    """Label and feature vector, kept for the passes of the fits; lost partitions are rebuilt from the input."""
-    shared_folder(train.sparkSession)  # boosting cuts its lineage with checkpoints there
-    return _assembler(features).transform(train).select("label", VECTOR, *extra).persist(StorageLevel.MEMORY_AND_DISK)
+class _Rows:
+    """Label and feature vector, kept for the passes of the fits; lost partitions are rebuilt from the input.
+
+    Each pass of an iterative fit is one job over all partitions, so small inputs go
+    into few partitions. Merging partitions never adds any: large inputs stay as they are.
+    """
+
+    def __init__(self, df: DataFrame, features, extra=()):
+        shared_folder(df.sparkSession)  # boosting cuts its lineage with checkpoints there
+        self.kept = _assembler(features).transform(df).select("label", VECTOR, *extra).persist(StorageLevel.MEMORY_AND_DISK)
+        self.task = _Task(self.kept)
+        self.frame = self.kept.coalesce(max(1, -(-self.task.rows // ROWS_PER_PARTITION)))
+
+    def __enter__(self):
+        return self.frame, self.task
+
+    def __exit__(self, *_):
+        self.kept.unpersist()
 
 
 def train(df: DataFrame, profile: str | dict = "logistic-baseline", features=FEATURES, **changes) -> PipelineModel:
     """Train one model on rows with feature columns and a 0/1 ``label``."""
     settings = profile_settings(profile, **changes)
-    rows = _assembled(df, features)
-    try:
-        model = _fit(rows, _Task(rows), settings, "m")
-    finally:
-        rows.unpersist()
+    with _Rows(df, features) as (rows, task):
+        model = _fit(rows, task, settings, "m")
     return PipelineModel([_assembler(features), model, ScoreColumns(["_p_m"], _leftovers(["m"]))])
 
 
@@ -184,13 +196,10 @@ def train_voting(df: DataFrame, profiles=ENSEMBLE, features=FEATURES, voting: st
     """Soft: mean of the base probabilities. Hard: majority of the base classes."""
     if voting not in ("soft", "hard"):
         raise ValueError(f"unknown voting: {voting}")
-    rows = _assembled(df, features)
     tags = [f"m{i}" for i in range(len(profiles))]
-    try:
-        task = _Task(rows)
-        models = _in_parallel([lambda p=p, t=t: _fit(rows, task, profile_settings(p), t) for p, t in zip(profiles, tags)], threads)
-    finally:
-        rows.unpersist()
+    with _Rows(df, features) as (rows, task):
+        models = _in_parallel(
+            rows, [lambda p=p, t=t: _fit(rows, task, profile_settings(p), t) for p, t in zip(profiles, tags)], threads)
     vectors = [f"_p_{t}" for t in tags]
     if voting == "soft":
         vote = ScoreColumns(vectors, _leftovers(tags))
@@ -206,14 +215,12 @@ def train_stacking(df: DataFrame, key: str, profiles=ENSEMBLE, features=FEATURES
     Folds come from a hash of the row key, so every pass puts a row into the same fold.
     """
     fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).alias("_fold")
-    rows = _assembled(df.select("*", fold), features, ["_fold"])
     tags = [f"m{i}" for i in range(len(profiles))]
     shares = [f"_s_{t}" for t in tags]
     to_shares = PositiveShares([f"_p_{t}" for t in tags], shares)
     meta_vector = VectorAssembler(inputCols=shares, outputCol="_stack")
-    try:
-        task = _Task(rows)
-        settings = [profile_settings(p) for p in profiles]
+    settings = [profile_settings(p) for p in profiles]
+    with _Rows(df.select("*", fold), features, ["_fold"]) as (rows, task):
 
         def held_out_fit(k, s, t):
             part = rows.filter(F.col("_fold") != k)
@@ -221,18 +228,15 @@ def train_stacking(df: DataFrame, key: str, profiles=ENSEMBLE, features=FEATURES
 
         jobs = [lambda k=k, s=s, t=t: held_out_fit(k, s, t) for k in range(folds) for s, t in zip(settings, tags)]
         jobs += [lambda s=s, t=t: _fit(rows, task, s, t) for s, t in zip(settings, tags)]
-        fitted = _in_parallel(jobs, threads)
+        fitted = _in_parallel(rows, jobs, threads)
         bases = fitted[-len(tags):]
         held_out = None
         for k in range(folds):
             models = fitted[k * len(tags):(k + 1) * len(tags)]
             part = PipelineModel([*models, to_shares]).transform(rows.filter(F.col("_fold") == k)).select("label", *shares)
             held_out = part if held_out is None else held_out.unionByName(part)
-        stacked = meta_vector.transform(held_out)
         meta = LogisticRegression(featuresCol="_stack", labelCol="label", regParam=1.0 / task.rows, standardization=False,
-                                  maxIter=1000, **_columns("meta")).fit(stacked)
-    finally:
-        rows.unpersist()
+                                  maxIter=1000, **_columns("meta")).fit(meta_vector.transform(held_out))
     drop = [*_leftovers([*tags, "meta"]), "_stack", *shares, *[f"_p_{t}" for t in tags]]
     return PipelineModel([_assembler(features), *bases, to_shares, meta_vector, meta, ScoreColumns(["_p_meta"], drop)])
 
