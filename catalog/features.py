@@ -10,6 +10,7 @@ from ebbtide.functions import scorecard
 from ebbtide.operators import impute, shaping, split
 from ebbtide.operators import transformers as tf
 from ebbtide.operators.transformers import FeatureEngineer, FeatureEngineerModel
+from ebbtide.plans import jobs
 from ebbtide.schema import ID, REQUEST_TO_SNAPSHOT, SNAPSHOT, numeric_columns, text_columns
 from ebbtide.session import work_path
 from ebbtide.sources import files, sinks
@@ -195,10 +196,8 @@ def feature_table(spark, folder):
 SELECT feat.*, split FROM feat JOIN (SELECT CustomerID, split FROM parted) USING (CustomerID)""")
 def features_fitted_on_train(spark, folder):
     """Fit on the training part only, apply to both, written as one table partitioned by split."""
-    train, test = split.train_test(split.stratified_split(snapshot(spark, folder), ID, "Churn"))
-    model = FeatureEngineer().fit(train)
     path = work_path(spark, "features")
-    sinks.write_split_features(model.transform(train), model.transform(test), path)
+    jobs.build_features(snapshot(spark, folder), path)
     return rounded(spark.read.parquet(path))
 
 
@@ -318,5 +317,4 @@ SELECT ContractType, CASE WHEN probability >= 0.8 THEN 'Critical' WHEN probabili
        round(avg(LatePayments + 0.5::DOUBLE * Complaints), 6) AS mean_stress
 FROM scored GROUP BY 1, 2""")
 def risk_by_contract(spark, folder):
-    from ebbtide.plans.jobs import risk_report
-    return rounded(risk_report(snapshot(spark, folder)))
+    return rounded(jobs.risk_report(snapshot(spark, folder)))

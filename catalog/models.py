@@ -28,7 +28,7 @@ def complete_customers(spark, folder):
 
 
 def prepared(spark, folder):
-    train, test, features = jobs.build_features(complete_customers(spark, folder))
+    train, test, features = jobs.build_features(complete_customers(spark, folder), work_path(spark, "features"))
     return training.as_training(train), training.as_training(test), features
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Hex digits of the hash that name a slice: 4096 slices, so ranking one slice touches
-# about 1/4096 of the rows.
+# Hex digits of the hash counted at a time: 4096 slices.
 SLICE_DIGITS = 3
+HASH_DIGITS = 30
+# A slice is ranked once it holds no more rows than this.
+RANKED_ROWS = 1_000_000
 # A stratifying label has few classes; the counts that reach the driver stay small.
 CLASS_LIMIT = 50
 # Largest sample taken by a sorted limit; larger ones use the cut-off of the split.
@@ -34,48 +38,67 @@ def class_quotas(counts: dict, test_size: float) -> dict:
     return {c: counts[c] - quota[c] for c in counts}
 
 
-def hash_cutoffs(df: DataFrame, key: str, strata: Column, quota_of, seed: int) -> dict:
+def hash_cutoffs(df: DataFrame, key: str, strata: Column, quota_of, seed: int, ranked_rows: int = RANKED_ROWS) -> dict:
     """For each class the last (hash, id) inside its quota; ``quota_of`` maps class sizes to quotas.
 
-    One counting job over class and hash slice, then one job that ranks only the slice
-    in which each quota ends. No class is ever sorted as a whole.
+    A counting job over class and hash slice finds the slice in which each quota ends.
+    While such a slice is large it is counted again by its next digits; in the end only
+    a few rows per class are ranked. No class is ever sorted as a whole.
     """
-    hashed = df.select(strata.alias("_class"), F.col(key).cast("string").alias("_id"), row_hash(key, seed).alias("_hash")) \
-        .withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
-    bound = CLASS_LIMIT * 16 ** SLICE_DIGITS
-    counts = hashed.groupBy("_class", "_slice").agg(F.count("*").alias("n")).limit(bound + 1).collect()
+    hashed = df.select(strata.alias("_class"), F.col(key).cast("string").alias("_id"), row_hash(key, seed).alias("_hash"))
+    counts = _slice_counts(hashed, 0)
     sizes = Counter()
-    for r in counts:
-        sizes[r["_class"]] += r["n"]
-    if len(counts) > bound or len(sizes) > CLASS_LIMIT:
+    for (c, _), n in counts.items():
+        sizes[c] += n
+    if len(sizes) > CLASS_LIMIT:
         raise ValueError(f"more than {CLASS_LIMIT} classes: not a class label")
-    wanted = {}
-    for c, quota in quota_of(sizes).items():
-        left = quota
-        for r in sorted((r for r in counts if r["_class"] == c), key=lambda r: r["_slice"]):
-            if 0 < left <= r["n"]:
-                wanted[c] = (r["_slice"], left)
-                break
-            left -= r["n"]
-    if not wanted:
+    ends = {c: ("", quota, sizes[c]) for c, quota in quota_of(sizes).items() if 0 < quota}
+    digits = 0
+    while True:
+        for c, (prefix, left, size) in ends.items():
+            if len(prefix) == digits and (digits == 0 or size > ranked_rows):
+                for s in sorted(s for (k, s) in counts if k == c):
+                    if left <= counts[(c, s)]:
+                        ends[c] = (prefix + s, left, counts[(c, s)])
+                        break
+                    left -= counts[(c, s)]
+        digits += SLICE_DIGITS
+        large = {c: e for c, e in ends.items() if e[2] > ranked_rows and len(e[0]) == digits}
+        if not large or digits >= HASH_DIGITS:
+            break
+        counts = _slice_counts(hashed.filter(_any(_inside(c, e[0]) for c, e in large.items())), digits)
+    if not ends:
         return {}
-    ends = [(F.col("_class").eqNullSafe(F.lit(c))) & (F.col("_slice") == s) for c, (s, _) in wanted.items()]
-    in_end_slice = ends[0]
-    for e in ends[1:]:
-        in_end_slice = in_end_slice | e
-    last = F.lit(False)
-    for c, (_, rank) in wanted.items():
-        last = last | (F.col("_class").eqNullSafe(F.lit(c)) & (F.col("_rank") == rank))
-    window = Window.partitionBy("_class", "_slice").orderBy("_hash", "_id")
-    rows = hashed.filter(in_end_slice).withColumn("_rank", F.row_number().over(window)).filter(last).collect()
+    last = _any(F.col("_class").eqNullSafe(F.lit(c)) & (F.col("_rank") == left) for c, (_, left, _) in ends.items())
+    window = Window.partitionBy("_class").orderBy("_hash", "_id")
+    near = hashed.filter(_any(_inside(c, prefix) for c, (prefix, _, _) in ends.items()))
+    rows = near.withColumn("_rank", F.row_number().over(window)).filter(last).collect()  # one row per class
     return {r["_class"]: (r["_hash"], r["_id"]) for r in rows}
 
 
+def _slice_counts(hashed: DataFrame, skip: int) -> dict:
+    """Rows per class and next digits of the hash; bounded by the number of classes."""
+    bound = CLASS_LIMIT * 16 ** SLICE_DIGITS
+    rows = hashed.groupBy("_class", F.substring("_hash", skip + 1, SLICE_DIGITS).alias("_slice")).agg(
+        F.count("*").alias("n")).limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {CLASS_LIMIT} classes: not a class label")
+    return {(r["_class"], r["_slice"]): r["n"] for r in rows}
+
+
+def _inside(c, prefix: str) -> Column:
+    return F.col("_class").eqNullSafe(F.lit(c)) & F.col("_hash").startswith(prefix)
+
+
+def _any(conditions) -> Column:
+    return reduce(or_, conditions, F.lit(False))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` = train | test with exact class shares.
 
-    ``key`` must be unique. Finding the cut-offs takes two light jobs; marking the rows
-    is a projection without a shuffle, so reading one part later stays cheap.
+    ``key`` must be unique. Finding the cut-offs takes a few light jobs over id and label;
+    marking the rows is a projection without a shuffle.
     """
     cutoffs = hash_cutoffs(df, key, F.col(label), lambda sizes: class_quotas(sizes, test_size), seed)
     test = F.lit(False)

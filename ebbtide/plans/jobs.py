@@ -48,14 +48,17 @@ def build_features(df: DataFrame, out: str | None = None, test_size: float = 0.2
                    model_path: str | None = None, fmt: str = "parquet") -> tuple[DataFrame, DataFrame, tf.FeatureEngineerModel]:
     """Stratified split, fit on the training part, transform both, write tables and pipeline."""
     require_columns(df, [ID, TARGET])
-    train, test = split.train_test(split.stratified_split(df, ID, TARGET, test_size, seed))
-    model = tf.FeatureEngineer(config).fit(train)
-    train, test = model.transform(train), model.transform(test)
+    marked = split.stratified_split(df, ID, TARGET, test_size, seed)
+    model = tf.FeatureEngineer(config, keep=(ID, "split")).fit(marked.filter("split = 'train'"))
+    features = model.transform(marked)
     if out:
-        sinks.write_split_features(train, test, out, fmt)
+        # One scan writes both parts; whatever follows reads the written table.
+        sinks.write_table(features, out, fmt, ["split"])
+        reader = features.sparkSession.read.schema(features.schema)
+        features = (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(out)
     if model_path:
         model.write().overwrite().save(model_path)
-    return train, test, model
+    return (*split.train_test(features), model)
 
 
 def compare_models(train: DataFrame, test: DataFrame, profiles: list[str], runs_path: str | None = None) -> tuple[DataFrame, dict]:

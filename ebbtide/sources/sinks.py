@@ -13,12 +13,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
     writer.format(fmt).save(path)
 
 
-def write_split_features(train: DataFrame, test: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Train and test features in one table partitioned by ``split``."""
-    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    write_table(both, path, fmt, ["split"])
-
-
 def write_record(df: DataFrame, path: str) -> None:
     """A one-row result as a single JSON object."""
     df.limit(1).coalesce(1).write.mode("overwrite").json(path)

@@ -117,6 +117,20 @@ def test_split_is_a_partition_with_exact_shares(spark):
     assert marked.exceptAll(split.stratified_split(df.repartition(5), "k", "y")).count() == 0
 
 
+def test_cutoffs_by_refining_slices(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 3 == 0).alias("y"))
+    quotas = lambda sizes: {True: 100, False: 333}
+    plain = split.hash_cutoffs(df, "id", F.col("y"), quotas, 1)
+    assert split.hash_cutoffs(df, "id", F.col("y"), quotas, 1, ranked_rows=1) == plain
+    hashes = [(split_hash(1, r["id"]), str(r["id"])) for r in df.filter("y").collect()]
+    assert plain[True] == sorted(hashes)[99]
+
+
+def split_hash(seed, key):
+    import hashlib
+    return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
+
+
 def test_split_refuses_an_id_as_label(spark):
     with pytest.raises(ValueError, match="not a class label"):
         split.stratified_split(spark.range(1000).withColumn("y", F.col("id")), "id", "y")
