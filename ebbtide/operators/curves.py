@@ -61,7 +61,7 @@ def areas(curve: DataFrame, also=()) -> DataFrame:
     step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
     return curve.agg(
         F.sum(trapezoid).alias("area"), F.sum(step).alias("steps"),
-        F.max("positives").alias("p"), F.max("negatives").alias("n"), *[F.sum(c).alias(c) for c in also],
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"), *[F.sum(c).alias(c) for c in also],
     ).select(
         F.try_divide("area", F.col("p").cast("double") * F.col("n")).alias("roc_auc"),
         F.try_divide("steps", "p").alias("average_precision"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import ellipsis, lookup, prefixed_metrics
-from ebbtide.schema import RUNS
+from ebbtide.schema import RUNS, VERSIONS
 
 STAGES = ("Staging", "Production", "Archived", "None")
 COMPARED = ("roc_auc", "accuracy", "precision", "recall")
@@ -92,6 +92,27 @@ def champion_tags(runs: DataFrame, data_version: str = "v3.1") -> DataFrame:
     return runs.withColumn("champion_tags", F.map_concat(fixed, prefixed_metrics(F.col("metrics"))))
 
 
+def new_version(versions: DataFrame, name: str, run_id: str, description: str = "", tags=None) -> DataFrame:
+    """The next version of a model as a row to append; the first version of a new name is 1."""
+    spark = versions.sparkSession
+    number = versions.filter(F.col("name") == name).agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
+    row = (name, number, "None", run_id, datetime.now(timezone.utc), description, {k: str(v) for k, v in (tags or {}).items()})
+    return spark.createDataFrame([row], VERSIONS)
+
+
+def add_tags(versions: DataFrame, name: str, version: int, tags: dict) -> DataFrame:
+    """Set tags of one version; a new value replaces an old one."""
+    added = F.create_map(*[F.lit(str(x)) for pair in tags.items() for x in pair])
+    kept = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*map(str, tags)))
+    chosen = (F.col("name") == name) & (F.col("version") == version)
+    return versions.withColumn("tags", F.when(chosen, F.map_concat(kept, added)).otherwise(F.col("tags")))
+
+
+def set_description(versions: DataFrame, name: str, version: int, text: str) -> DataFrame:
+    chosen = (F.col("name") == name) & (F.col("version") == version)
+    return versions.withColumn("description", F.when(chosen, F.lit(text)).otherwise(F.col("description")))
+
+
 def stage_event(spark: SparkSession, name: str, version: int, stage: str, archive_existing: bool | None = None) -> DataFrame:
     """A transition to append to the stage log."""
     if stage not in STAGES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,18 @@ def _load(reader, fmt: str, path: str) -> DataFrame:
         raise
 
 
+def read_config(path: str) -> dict:
+    """A feature configuration from JSON, or from YAML where PyYAML is installed."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as error:
+            raise RuntimeError("reading YAML needs PyYAML; use JSON instead") from error
+        return yaml.safe_load(f)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN -> NULL once, at the source: later comparisons then treat both the same."""
     floats = columns_of_type(df, (T.DoubleType, T.FloatType))

@@ -188,3 +188,14 @@ def test_imputer(spark):
 def test_variance_filter(customers):
     df = customers.withColumn("Constant", F.lit(1.0))
     assert "Constant" not in tf.VarianceFilter(["Constant", "Age"]).fit(df).transform(df).columns
+
+
+def test_config_file(customers, tmp_path):
+    import json
+
+    from ebbtide.sources.files import read_config
+
+    path = tmp_path / "features.json"
+    path.write_text(json.dumps({**tf.DEFAULT_CONFIG, "scaling": {"method": "minmax"}}))
+    out = tf.FeatureEngineer(read_config(str(path))).fit(customers).transform(customers)
+    assert out.agg(F.min("Age"), F.max("Age")).first()[:2] == (0.0, 1.0)

@@ -159,5 +159,10 @@ def test_versions(spark):
     assert listed[0]["description"] == "d" * 50 + "..."
     assert runs.list_versions(versions, table, "other").count() == 0
     assert runs.version_in_stage(versions, "m", "Production").first()["version"] == 2
+    tagged = runs.set_description(runs.add_tags(versions, "m", 2, {"a": 1, "b": 2}), "m", 2, "new")
+    assert {r["version"]: (r["tags"], r["description"]) for r in runs.add_tags(tagged, "m", 2, {"a": 3}).collect()} == {
+        1: ({}, None), 2: ({"a": "3", "b": "2"}, "new")}
+    assert runs.new_version(versions, "m", run_id).first()["version"] == 3
+    assert runs.new_version(versions, "fresh", run_id, "d", {"k": 1}).first()["tags"] == {"k": "1"}
     tags = runs.champion_tags(table).first()["champion_tags"]
     assert tags["metric_roc_auc"] == "0.8" and tags["model_type"] == "forest" and tags["champion"] == "true"
