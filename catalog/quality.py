@@ -158,8 +158,8 @@ field_errors AS (
     CASE WHEN gender NOT IN ('Male', 'Female') THEN 'type_error.enum' END AS e_gender,
     CASE WHEN age IS NULL THEN 'value_error.missing' WHEN age < 18 THEN 'value_error.number.not_ge' WHEN age > 100 THEN 'value_error.number.not_le' END AS e_age,
     CASE WHEN tenure < 0 THEN 'value_error.number.not_ge' WHEN tenure > 100 THEN 'value_error.number.not_le' END AS e_tenure,
-    CASE WHEN monthly_charges < 0 THEN 'value_error.number.not_ge' WHEN monthly_charges > 200 THEN 'value_error.number.not_le' WHEN monthly_charges <= 0 THEN 'value_error' END AS e_monthly_charges,
-    CASE WHEN total_charges < 0 THEN 'value_error.number.not_ge' WHEN total_charges > 10000 THEN 'value_error.number.not_le' END AS f_total,
+    CASE WHEN monthly_charges IS NULL THEN 'value_error.missing' WHEN monthly_charges < 0 THEN 'value_error.number.not_ge' WHEN monthly_charges > 200 THEN 'value_error.number.not_le' WHEN monthly_charges <= 0 THEN 'value_error' END AS e_monthly_charges,
+    CASE WHEN total_charges IS NULL THEN 'value_error.missing' WHEN total_charges < 0 THEN 'value_error.number.not_ge' WHEN total_charges > 10000 THEN 'value_error.number.not_le' END AS f_total,
     CASE WHEN engagement > 2 THEN 'value_error.number.not_le' END AS e_engagement,
     CASE WHEN data_usage > 1000 THEN 'value_error.number.not_le' END AS e_data_usage
   FROM requests),

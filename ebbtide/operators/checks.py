@@ -44,8 +44,14 @@ class Check:
 
 
 class SuiteFailed(ValueError):
+    """Carries all failed results; its text names the first few."""
+
+    SHOWN = 5
+
     def __init__(self, failures: list):
-        super().__init__(f"data validation failed: {len(failures)} checks failed")
+        named = [f"{r['kind']}({r['column'] or ''}): {r['unexpected_count']} unexpected, observed {r['observed']}" for r in failures]
+        more = [f"and {len(named) - self.SHOWN} more"] if len(named) > self.SHOWN else []
+        super().__init__("; ".join([f"data validation failed: {len(failures)} checks failed", *named[:self.SHOWN], *more]))
         self.failures = failures
 
 
