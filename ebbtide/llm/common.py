@@ -68,3 +68,23 @@ def text_slices(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, pa
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column, empty for null."""
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def with_column(docs: DataFrame, text_col: str, name: str, kind: str, compute: Callable, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with a column that ``compute`` makes from slices of the text.
+
+    The rows pass through as they are, so nothing has to be joined back by an id that may be
+    null or repeated.
+    """
+    keep = docs.columns if keep is None else keep
+    made = f"_{name}"
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text__"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch.column(len(keep))):
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], compute(texts)], [*keep, made])
+
+    return source.mapInArrow(run, ", ".join([*fields, f"`{made}` {kind}"])).withColumnRenamed(made, name)
