@@ -3,5 +3,7 @@
 ``QUERIES`` and ``ORACLES`` are filled by the operator modules.
 """
 
-from ebbtide.llm import near_duplicates  # noqa: F401
+from ebbtide.llm import (  # noqa: F401
+    digests, language_model, languages, mixing, near_duplicates, packing, pages, quality, token_counts, token_files,
+)
 from ebbtide.llm.common import ORACLES, QUERIES  # noqa: F401
