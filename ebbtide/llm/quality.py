@@ -27,7 +27,7 @@ MOST_REPEATED = 20
 LABELLED = 50_000
 #: A rule must be right for this share of the rows it covers, and cover this many rejects.
 PRECISION = 0.95
-LEAST_COVER = 8
+LEAST_COVER = 4
 #: Conditions a rule has at most, rules a list has at most, thresholds tried per share.
 CONDITIONS, RULES, THRESHOLDS = 3, 20, 200
 
