@@ -50,6 +50,39 @@ def metrics_of_lines_by_ranges(spark, folder):
     return rounded(evaluation.metrics(scored_lines(spark, folder), rows_per_task=10_000))
 
 
+# Lines without label, without score, and with a score that is no number, by their quantity.
+HOLED = """
+holed AS (
+  SELECT CASE WHEN CAST(l_quantity AS INTEGER) % 13 = 0 THEN NULL ELSE label END AS label, prediction,
+         CASE WHEN CAST(l_quantity AS INTEGER) % 7 = 0 THEN NULL WHEN CAST(l_quantity AS INTEGER) % 11 = 0 THEN CAST('nan' AS DOUBLE) ELSE probability END AS probability
+  FROM lines),
+usable AS (SELECT * FROM holed WHERE label IS NOT NULL AND probability IS NOT NULL AND NOT isnan(probability))"""
+GAPS = f"WITH {LINES}, {HOLED}, {CONFUSION.format(source='usable')}, {CURVE.format(source='usable')}"
+GAP_METRICS = f"""{GAPS}, measured AS ({METRICS})
+SELECT *, (SELECT count(*) FROM holed) - (SELECT count(*) FROM usable) AS unscored FROM measured"""
+
+
+def _holed(spark, folder):
+    quantity = F.col("l_quantity").cast("int")
+    score = F.when(quantity % 7 == 0, None).when(quantity % 11 == 0, float("nan")).otherwise(F.col("probability"))
+    return scored_lines(spark, folder).withColumns({"label": F.when(quantity % 13 != 0, F.col("label")), "probability": score})
+
+
+def _gap_metrics(df, **size):
+    return rounded(evaluation.metrics(df, **size)).withColumn("unscored", curves.unscored(df).scalar())
+
+
+@query("metrics_with_gaps", GAP_METRICS)
+def metrics_with_gaps(spark, folder):
+    """Rows without label or score are left out and counted."""
+    return _gap_metrics(_holed(spark, folder))
+
+
+@query("metrics_with_gaps_by_ranges", GAP_METRICS)
+def metrics_with_gaps_by_ranges(spark, folder):
+    return _gap_metrics(_holed(spark, folder), rows_per_task=10_000)
+
+
 @query("confusion_matrix", f"""{CUSTOMERS}
 SELECT 0 AS true_label, 0 AS predicted_label, tn AS value FROM cm UNION ALL SELECT 0, 1, fp FROM cm
 UNION ALL SELECT 1, 0, fn FROM cm UNION ALL SELECT 1, 1, tp FROM cm""")
@@ -169,10 +202,14 @@ def error_histogram_of_lines(spark, folder):
     return evaluation.error_histogram(evaluation.error_table(scored_lines(spark, folder)))
 
 
-def _sweep_cte(source):
+UNEVEN = [0.9, 0.01, 0.02, 0.03, 0.5, 0.45]
+
+
+def _sweep_cte(source, points=None):
     # The grid of 90 thresholds from 0.01 to 0.9, as the doubles an even grid gives.
     step = (0.9 - 0.01) / 89
-    grid = ", ".join(f"({(0.01 + i * step if i < 89 else 0.9)!r}::DOUBLE)" for i in range(90))
+    points = points or [0.01 + i * step if i < 89 else 0.9 for i in range(90)]
+    grid = ", ".join(f"({p!r}::DOUBLE)" for p in points)
     return f"""grid(threshold) AS (VALUES {grid}),
 counted AS (SELECT threshold, count(*) FILTER (WHERE label = 0 AND probability < threshold) AS tn, count(*) FILTER (WHERE label = 0 AND probability >= threshold) AS fp,
                    count(*) FILTER (WHERE label = 1 AND probability < threshold) AS fn, count(*) FILTER (WHERE label = 1 AND probability >= threshold) AS tp
@@ -197,6 +234,13 @@ def threshold_sweep_of_lines(spark, folder):
     return _rounded_rates(evaluation.threshold_sweep(scored_lines(spark, folder)))
 
 
+@query("threshold_sweep_uneven", f"WITH {LINES}, {HOLED}, scored_only AS (SELECT label, CASE WHEN isnan(probability) THEN NULL ELSE probability END AS p FROM holed), "
+       f"filled AS (SELECT label, coalesce(p, -1.0::DOUBLE) AS probability FROM scored_only), {_sweep_cte('filled', UNEVEN)} {SWEEP}")
+def threshold_sweep_uneven(spark, folder):
+    """Thresholds at any distance; lines without score are never flagged."""
+    return _rounded_rates(evaluation.threshold_sweep(_holed(spark, folder), thresholds=UNEVEN))
+
+
 @query("optimal_threshold", f"WITH {SNAP}, {_sweep_cte('scored')} {SWEEP} ORDER BY cost, threshold LIMIT 1")
 def optimal_threshold(spark, folder):
     return _rounded_rates(evaluation.optimal_threshold(evaluation.threshold_sweep(scored_customers(spark, folder))))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.base import query
 from ebbtide.operators import evaluation, explain, scoring, split, training
+from ebbtide.operators.impute import Imputer
 from ebbtide.operators.transformers import FeatureEngineer
 from ebbtide.plans import jobs
 from ebbtide.schema import ID
@@ -23,8 +22,10 @@ SMALL_BOOSTED = {**training.PROFILES["xgb-conservative"], "n_estimators": 20}
 
 
 def complete_customers(spark, folder):
-    """Customers without any order have no price, and models do not take missing values."""
-    return snapshot(spark, folder).filter(F.col("MonthlyCharges").isNotNull())
+    """All customers; those without any order get the training customers' median price, as models take no missing values."""
+    rows = split.stratified_split(snapshot(spark, folder), ID, "Churn")
+    fills = Imputer(create_indicators=False).fit(split.train_test(rows)[0])
+    return fills.transform(rows.drop("split"))
 
 
 def prepared(spark, folder):
@@ -142,7 +143,7 @@ def boosted_contributions(spark, folder):
 @query("contribution_importance")
 def contribution_importance(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return explain.global_importance(explain.explain(test, training.train(train, SMALL_FOREST), ID, sample=1000))
+    return explain.global_importance(explain.explain(test, training.train(train, SMALL_FOREST), ID))
 
 
 @query("contributions_of_extremes")

@@ -225,11 +225,12 @@ def request_soft_signals(spark, folder):
 
 
 @query("request_batches_refused", f"""WITH {SNAP}, {REQUESTS}
-SELECT age AS batch, CAST(count(DISTINCT r.customer_id) AS BIGINT) AS records,
+SELECT CASE WHEN r.customer_id LIKE '%0_' THEN 'large' ELSE right(r.customer_id, 2) END AS batch, CAST(count(DISTINCT r.customer_id) AS BIGINT) AS records,
        CAST(count(DISTINCT e.customer_id) AS BIGINT) AS invalid,
        count(DISTINCT e.customer_id) = 0 AND count(DISTINCT r.customer_id) <= 100 AS accepted
-FROM requests r LEFT JOIN errors e ON r.customer_id = e.customer_id WHERE age IS NOT NULL GROUP BY age""")
+FROM requests r LEFT JOIN errors e ON r.customer_id = e.customer_id GROUP BY 1""")
 def request_batches_refused(spark, folder):
     """All or nothing: a batch with any invalid record, or with too many, is refused."""
-    checked = rules.check_requests(requests(spark, folder)).filter(F.col("age").isNotNull())
-    return rules.judge_batches(checked, "age", 100).withColumnRenamed("age", "batch")
+    checked = rules.check_requests(requests(spark, folder))
+    batch = F.when(F.col("customer_id").like("%0_"), "large").otherwise(F.right("customer_id", F.lit(2)))
+    return rules.judge_batches(checked.withColumn("batch", batch), "batch", 100)

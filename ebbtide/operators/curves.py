@@ -1,7 +1,8 @@
 """ROC and precision-recall curves, exact, with ties grouped.
 
 Rows are reduced to one row per distinct score first. If even those are many, the
-running totals are built range by range (see ``running``).
+running totals are built range by range (see ``running``). Rows whose label is NULL, or
+whose score is NULL or NaN, cannot be ranked and are left out before anything else.
 """
 
 from __future__ import annotations
@@ -12,9 +13,19 @@ from pyspark.sql import functions as F
 from ebbtide.operators.running import ROWS_PER_TASK, range_bounds, running_totals
 
 
+def _ranked(label: str, score: str):
+    p = F.col(score).cast("double")
+    return F.col(label).isNotNull() & p.isNotNull() & ~F.isnan(p)
+
+
+def unscored(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
+    """One row: how many rows the curves leave out."""
+    return df.agg(F.count_if(~_ranked(label, score)).alias("unscored"))
+
+
 def score_groups(df: DataFrame, label: str = "label", score: str = "probability", also=()) -> DataFrame:
     """Positives and negatives per distinct score, and any further aggregates in ``also``."""
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    return df.filter(_ranked(label, score)).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"), *also)
 
 
@@ -22,7 +33,7 @@ def cumulative(df: DataFrame, label: str = "label", score: str = "probability",
                rows_per_task: int = ROWS_PER_TASK, also=()) -> DataFrame:
     """Per distinct score: true and false positives when predicting positive at or above it."""
     # Cut points come from the rows: a range then never holds more distinct scores than rows.
-    bounds = range_bounds(df, score, rows_per_task)
+    bounds = range_bounds(df.filter(_ranked(label, score)), score, rows_per_task)
     groups = score_groups(df, label, score, also)
     totals = groups.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     return running_totals(groups, "score", {"tp": "pos", "fp": "neg"}, descending=True, bounds=bounds) \

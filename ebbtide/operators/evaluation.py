@@ -58,7 +58,10 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def metrics(df: DataFrame, rows_per_task: int = curves.ROWS_PER_TASK) -> DataFrame:
-    """One row: accuracy, precision, recall, f1, roc_auc, pr_auc (average precision)."""
+    """One row: accuracy, precision, recall, f1, roc_auc, pr_auc (average precision).
+
+    Rows without label or score (NULL or NaN) are left out of all six; ``curves.unscored`` counts them.
+    """
     # The confusion counts ride along with the score groups: one scan for everything.
     names = ("tn", "fp", "fn", "tp")
     counted = [F.count_if((F.col("label") == int(n in ("fn", "tp"))) & (F.col("prediction") == int(n in ("fp", "tp"))))
@@ -136,9 +139,10 @@ def threshold_sweep(df: DataFrame, cost_fp: float = COST_FP, cost_fn: float = CO
     """Confusion counts and cost of predicting positive at or above each threshold.
 
     One pass: each score falls into the gap between two thresholds, so the data shrinks
-    to one row per gap before anything is summed over thresholds.
+    to one row per gap before anything is summed over thresholds. Thresholds may be any
+    finite numbers; they come back in rising order. A row without score is never flagged.
     """
-    thresholds = thresholds or SWEEP
+    thresholds = SWEEP if thresholds is None else sorted({float(t) for t in thresholds})
     gaps = df.groupBy(grid_rank(F.col(score), thresholds).alias("gap")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     spark = df.sparkSession

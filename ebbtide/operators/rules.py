@@ -22,7 +22,9 @@ LOW_SHARE, HIGH_SHARE, NEW_CUSTOMER_MONTHS = 0.5, 1.5, 2
 
 
 class InvalidRequests(ValueError):
-    def __init__(self, rejected: int, errors: list):
+    """``errors`` is the table of all rejects, or None for a batch without records."""
+
+    def __init__(self, rejected: int, errors: DataFrame | None):
         super().__init__(f"request validation failed for {rejected} records")
         self.rejected, self.errors = rejected, errors
 
@@ -142,18 +144,18 @@ def error_summary(checked: DataFrame) -> DataFrame:
     return checked.select(F.inline(ERRORS)).groupBy("field", "type").agg(F.count("*").alias("errors"))
 
 
-def accept(checked: DataFrame, mode: str = "quarantine", show: int = 20) -> tuple[DataFrame, DataFrame]:
+def accept(checked: DataFrame, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """Valid rows and rejects.
 
     ``quarantine`` splits the batch. ``fail`` refuses the whole batch if any record is
-    invalid, which runs one counting job.
+    invalid, which runs one counting job; the error carries the table of all rejects.
     """
     if mode not in ("quarantine", "fail"):
         raise ValueError(f"unknown mode: {mode}")
     if mode == "fail":
         bad = checked.filter(F.size(ERRORS) > 0).count()
         if bad:
-            raise InvalidRequests(bad, rejects(checked).limit(show).collect())
+            raise InvalidRequests(bad, rejects(checked))
     return valid_rows(checked), rejects(checked)
 
 
@@ -170,5 +172,5 @@ def limit_batch(df: DataFrame, size: int = 100) -> DataFrame:
     if found > size:
         raise BatchTooLarge(f"batch holds more than {size} records")
     if found == 0:
-        raise InvalidRequests(0, [])
+        raise InvalidRequests(0, None)
     return df

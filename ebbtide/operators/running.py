@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 # Above this many rows a single sorted window is replaced by value ranges.
 ROWS_PER_TASK = 1_000_000
-MAX_RANGES = 10_000
 
 
 def range_bounds(df: DataFrame, column: str, rows_per_task: int = ROWS_PER_TASK) -> list[float]:
@@ -18,7 +17,7 @@ def range_bounds(df: DataFrame, column: str, rows_per_task: int = ROWS_PER_TASK)
     later use of them cuts at the same place, also when a lost task is run again.
     """
     rows = df.select(F.count(column)).first()[0]
-    ranges = min(MAX_RANGES, -(-rows // rows_per_task))
+    ranges = -(-rows // rows_per_task)
     if ranges <= 1:
         return []
     shares = [i / ranges for i in range(1, ranges)]
@@ -36,9 +35,9 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums: ``totals`` maps a new column to the column it sums.
 
-    ``order`` must be unique within ``by``. With ``bounds`` each task sorts one value
-    range; the sums of the ranges before it arrive through a join with one row per
-    range and group.
+    ``order`` must be unique within ``by``, and neither NULL nor NaN. With ``bounds`` each
+    task sorts one value range; the sums of the ranges before it arrive through a join with
+    one row per range and group. A NULL group is a group.
     """
     by = list(by)
     direction = F.desc if descending else F.asc
@@ -52,12 +51,15 @@ def running_totals(
     offsets = (
         ranged.groupBy(*by, "_range")
         .agg(*[F.sum(old).alias(new) for new, old in totals.items()])
-        .select(*by, "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in totals])
+        .select(*[F.col(b).alias(f"_of_{b}") for b in by], F.col("_range").alias("_of_range"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in totals])
     )
     within = Window.partitionBy(*by, "_range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({new: F.sum(old).over(within) for new, old in totals.items()})
+    same = F.col("_range") == F.col("_of_range")
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_of_{b}"))
     return (
-        local.join(offsets, [*by, "_range"])
+        local.join(offsets, same)
         .withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in totals})
-        .drop("_range", *[f"_before_{n}" for n in totals])
+        .drop("_range", "_of_range", *[f"_of_{b}" for b in by], *[f"_before_{n}" for n in totals])
     )

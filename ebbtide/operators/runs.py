@@ -130,7 +130,8 @@ def current_stages(events: DataFrame) -> DataFrame:
     later event puts another version of the same model there and archives the previous one.
     Both steps are maxima per group; no history is sorted.
     """
-    last = events.groupBy("name", "version").agg(F.max_by("stage", "at").alias("stage"), F.max("at").alias("at"))
+    # Of two events at the same time the one with the later name of a stage decides, in every run.
+    last = events.groupBy("name", "version").agg(F.max(F.struct("at", "stage")).alias("_last")).select("name", "version", "_last.stage", "_last.at")
     takeover = events.filter((F.col("stage") == "Production") & F.col("archive_existing")).groupBy("name").agg(
         F.max("at").alias("taken_at"))
     replaced = (F.col("stage") == "Production") & (F.col("at") < F.col("taken_at"))

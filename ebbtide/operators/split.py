@@ -2,111 +2,88 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Hex digits of the hash counted at a time: 4096 slices.
-SLICE_DIGITS = 3
-HASH_DIGITS = 30
-# A slice is ranked once it holds no more rows than this.
-RANKED_ROWS = 1_000_000
-# A stratifying label has few classes; the counts that reach the driver stay small.
-CLASS_LIMIT = 50
-# Largest sample taken by a sorted limit; larger ones use the cut-off of the split.
-SORTED_SAMPLE = 10_000
+from ebbtide.session import work_path
+
+# Hex digits of the hash by which rows are counted: 65,536 slices. Only the slice in which
+# a quota ends is ranked, so a task ranks a 65,536th of a class.
+SLICE_DIGITS = 4
 
 
 def row_hash(key: str, seed: int) -> Column:
-    """Hash text that orders rows at random. md5 is the same in every engine, so a split can be redone anywhere."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    """Hash text that orders rows at random; a NULL id hashes like an empty one.
+
+    md5 is the same in every engine, so a split can be redone anywhere.
+    """
+    return F.md5(F.concat(F.lit(f"{seed}:"), _text(key)).cast("binary"))
 
 
-def class_quotas(counts: dict, test_size: float) -> dict:
-    """Test rows per class: total ceil(n * share), spread by largest remainder of the train part."""
-    n = sum(counts.values())
-    train = n - math.ceil(n * test_size)
-    exact = {c: k * train / n for c, k in counts.items()}
-    quota = {c: math.floor(x) for c, x in exact.items()}
-    short = train - sum(quota.values())
-    for c in sorted(counts, key=lambda c: (quota[c] - exact[c], str(c)))[:short]:
-        quota[c] += 1
-    return {c: counts[c] - quota[c] for c in counts}
+def _text(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
 
 
-def hash_cutoffs(df: DataFrame, key: str, strata: Column, quota_of, seed: int, ranked_rows: int = RANKED_ROWS) -> dict:
-    """For each class the last (hash, id) inside its quota; ``quota_of`` maps class sizes to quotas.
+def class_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
+    """``(_class, _quota)`` from one row ``(_class, _size)`` per class.
 
-    A counting job over class and hash slice finds the slice in which each quota ends.
-    While such a slice is large it is counted again by its next digits; in the end only
-    a few rows per class are ranked. No class is ever sorted as a whole.
+    The test rows are ceil(n * share) in all; the train rows are spread over the classes by
+    largest remainder.
+    """
+    whole = Window.partitionBy()
+    total = F.sum("_size").over(whole)
+    train = total - F.ceil(total * F.lit(float(test_size)))
+    exact = F.col("_size") * F.col("_train") / F.col("_total")
+    by_remainder = Window.orderBy(F.col("_floor") - F.col("_exact"), F.coalesce(F.col("_class").cast("string"), F.lit("None")))
+    spread = (
+        sizes.withColumns({"_total": total, "_train": train}).withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+        .withColumn("_short", F.col("_train") - F.sum("_floor").over(whole)).withColumn("_place", F.row_number().over(by_remainder))
+    )
+    return spread.select("_class", (F.col("_size") - F.col("_floor") - (F.col("_place") <= F.col("_short")).cast("long")).alias("_quota"))
+
+
+def hash_cutoffs(df: DataFrame, key: str, strata: Column, quotas_of, seed: int) -> DataFrame:
+    """``(_class, _last_hash, _last_id)``: the last row inside each class's quota.
+
+    ``quotas_of`` maps the class sizes to quotas, both as tables with a row per class. Rows
+    are counted by class and hash slice; the slice in which a quota ends is ranked, no class
+    is ever sorted as a whole. A class without quota has no row.
     """
-    hashed = df.select(strata.alias("_class"), F.col(key).cast("string").alias("_id"), row_hash(key, seed).alias("_hash"))
-    counts = _slice_counts(hashed, 0)
-    sizes = Counter()
-    for (c, _), n in counts.items():
-        sizes[c] += n
-    if len(sizes) > CLASS_LIMIT:
-        raise ValueError(f"more than {CLASS_LIMIT} classes: not a class label")
-    ends = {c: ("", quota, sizes[c]) for c, quota in quota_of(sizes).items() if 0 < quota}
-    digits = 0
-    while True:
-        for c, (prefix, left, size) in ends.items():
-            if len(prefix) == digits and (digits == 0 or size > ranked_rows):
-                for s in sorted(s for (k, s) in counts if k == c):
-                    if left <= counts[(c, s)]:
-                        ends[c] = (prefix + s, left, counts[(c, s)])
-                        break
-                    left -= counts[(c, s)]
-        digits += SLICE_DIGITS
-        large = {c: e for c, e in ends.items() if e[2] > ranked_rows and len(e[0]) == digits}
-        if not large or digits >= HASH_DIGITS:
-            break
-        counts = _slice_counts(hashed.filter(_any(_inside(c, e[0]) for c, e in large.items())), digits)
-    if not ends:
-        return {}
-    last = _any(F.col("_class").eqNullSafe(F.lit(c)) & (F.col("_rank") == left) for c, (_, left, _) in ends.items())
-    window = Window.partitionBy("_class").orderBy("_hash", "_id")
-    near = hashed.filter(_any(_inside(c, prefix) for c, (prefix, _, _) in ends.items()))
-    rows = near.withColumn("_rank", F.row_number().over(window)).filter(last).collect()  # one row per class
-    return {r["_class"]: (r["_hash"], r["_id"]) for r in rows}
-
-
-def _slice_counts(hashed: DataFrame, skip: int) -> dict:
-    """Rows per class and next digits of the hash; bounded by the number of classes."""
-    bound = CLASS_LIMIT * 16 ** SLICE_DIGITS
-    rows = hashed.groupBy("_class", F.substring("_hash", skip + 1, SLICE_DIGITS).alias("_slice")).agg(
-        F.count("*").alias("n")).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {CLASS_LIMIT} classes: not a class label")
-    return {(r["_class"], r["_slice"]): r["n"] for r in rows}
-
-
-def _inside(c, prefix: str) -> Column:
-    return F.col("_class").eqNullSafe(F.lit(c)) & F.col("_hash").startswith(prefix)
-
-
-def _any(conditions) -> Column:
-    return reduce(or_, conditions, F.lit(False))
+    hashed = df.select(strata.alias("_class"), _text(key).alias("_id"), row_hash(key, seed).alias("_hash"))
+    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
+    slices = hashed.groupBy("_class", "_slice").agg(F.count("*").alias("_n"))
+    quotas = quotas_of(slices.groupBy("_class").agg(F.sum("_n").alias("_size"))).select(F.col("_class").alias("_of"), "_quota")
+    upto = F.sum("_n").over(Window.partitionBy("_class").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))
+    ends = (
+        slices.withColumn("_upto", upto).join(quotas, F.col("_class").eqNullSafe(F.col("_of")))
+        .filter("_upto - _n < _quota and _quota <= _upto")
+        .select("_of", F.col("_slice").alias("_end"), (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_left"))
+    )
+    near = hashed.join(ends, F.col("_class").eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_end")))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_hash", "_id"))
+    return near.withColumn("_rank", rank).filter("_rank = _left").select("_class", F.col("_hash").alias("_last_hash"), F.col("_id").alias("_last_id"))
+
+
+def _marked(df: DataFrame, key: str, strata: Column, quotas_of, seed: int, name: str) -> DataFrame:
+    """Add a boolean: is the row inside its class's quota."""
+    path = work_path(df.sparkSession, "cutoffs")
+    hash_cutoffs(df, key, strata, quotas_of, seed).write.parquet(path)
+    # One row per class, read back from a file of known size: Spark broadcasts it while that is small.
+    cutoffs = df.sparkSession.read.parquet(path)
+    here, identity = row_hash(key, seed), _text(key)
+    inside = (here < F.col("_last_hash")) | ((here == F.col("_last_hash")) & (identity <= F.col("_last_id")))
+    return df.join(cutoffs, strata.eqNullSafe(F.col("_class")), "left").withColumn(name, F.coalesce(inside, F.lit(False))).drop(
+        "_class", "_last_hash", "_last_id")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` = train | test with exact class shares.
 
-    ``key`` must be unique. Finding the cut-offs takes a few light jobs over id and label;
-    marking the rows is a projection without a shuffle.
+    ``key`` must be unique. Any number of classes will do; a NULL label is a class. An empty
+    frame gives an empty one.
     """
-    cutoffs = hash_cutoffs(df, key, F.col(label), lambda sizes: class_quotas(sizes, test_size), seed)
-    test = F.lit(False)
-    here, identity = row_hash(key, seed), F.col(key).cast("string")
-    for c, (hash_, id_) in cutoffs.items():
-        inside = (here < hash_) | ((here == hash_) & (identity <= id_))
-        test = test | (F.col(label).eqNullSafe(F.lit(c)) & inside)
-    return df.withColumn("split", F.when(test, "test").otherwise("train"))
+    marked = _marked(df, key, F.col(label), lambda sizes: class_quotas(sizes, test_size), seed, "_test")
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,11 +94,5 @@ def sample_rows(df: DataFrame, n: int | None, key: str, seed: int = 42) -> DataF
     """``n`` rows without replacement, the same ones in every run; all rows if n is None or not below their number."""
     if n is None:
         return df
-    if n <= SORTED_SAMPLE:
-        return df.withColumn("_hash", row_hash(key, seed)).orderBy("_hash", key).limit(n).drop("_hash")
-    cutoffs = hash_cutoffs(df, key, F.lit("all"), lambda sizes: {"all": n} if sizes["all"] > n else {}, seed)
-    if not cutoffs:
-        return df
-    hash_, id_ = cutoffs["all"]
-    here = row_hash(key, seed)
-    return df.filter((here < hash_) | ((here == hash_) & (F.col(key).cast("string") <= id_)))
+    quotas = lambda sizes: sizes.select("_class", F.least("_size", F.lit(n)).alias("_quota"))
+    return _marked(df, key, F.lit("all"), quotas, seed, "_taken").filter("_taken").drop("_taken")

@@ -27,8 +27,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles as rows ``(by..., column, prob, value)``.
 
-    One aggregation for all columns whose distinct count is proven small. The other
-    columns are reduced to value counts and ranked by running totals, one per column.
+    NULL and NaN are missing values and left out. The rows are reduced to value counts
+    first; columns whose distinct count is proven small take their quantiles from those in
+    one buffer, the others are ranked by running totals, one per column.
     """
     small = small_columns(df, columns, distinct_limit)
     parts = [_buffered_quantiles(df, small, probs, by)] if small else []
@@ -42,24 +43,27 @@ def small_columns(df: DataFrame, columns: list[str], distinct_limit: int = DISTI
     return [c for c in columns if counted[c] * SKETCH_MARGIN <= distinct_limit]
 
 
+def _number(column: str) -> Column:
+    """The value as a double, NULL for NaN."""
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def percentiles(column: str, probs: list[float]) -> Column:
-    return F.percentile(F.col(f"`{column}`").cast("double"), F.array(*map(F.lit, probs)))
+    return F.percentile(_number(column), F.array(*map(F.lit, probs)))
 
 
 def _buffered_quantiles(df, columns, probs, by) -> DataFrame:
-    wide = df.groupBy(*by).agg(*[
-        percentiles(c, probs).alias(f"_q{i}")
-        for i, c in enumerate(columns)
-    ])
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.get(F.col(f"_q{i}"), F.lit(j)).alias("value"))
-        for i, c in enumerate(columns) for j, p in enumerate(probs)
-    ]
-    return wide.select(*by, F.inline(F.array(*cells)))
+    # Value counts combine before the shuffle, so what meets in one buffer is a row per distinct value.
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _number(c).alias("_value")) for c in columns])
+    counts = df.select(*by, F.inline(cells)).groupBy(*by, "column", "_value").agg(F.count("*").alias("_n"))
+    wide = counts.groupBy(*by, "column").agg(F.percentile("_value", F.array(*map(F.lit, probs)), F.col("_n")).alias("_q"))
+    found = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.get(F.col("_q"), F.lit(j)).alias("value")) for j, p in enumerate(probs)])
+    return wide.select(*by, "column", F.inline(found))
 
 
 def _ranked_quantiles(df, column, probs, by, rows_per_task) -> DataFrame:
-    values = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_value"))
+    values = df.select(*by, _number(column).alias("_value")).filter("_value is not null")
     counts = values.groupBy(*by, "_value").agg(F.count("*").alias("_n"))
     bounds = range_bounds(counts, "_value", rows_per_task)
     ranked = running_totals(counts, "_value", {"_upto": "_n"}, by=by, bounds=bounds)

@@ -259,8 +259,11 @@ def as_training(features_frame: DataFrame, target: str = "Churn") -> DataFrame:
 
 
 def classifier_of(model: PipelineModel):
-    """The first fitted classifier of a trained pipeline."""
-    return next(s for s in model.stages if hasattr(s, "featureImportances") or hasattr(s, "coefficients"))
+    """The fitted classifier of a trained pipeline. An ensemble has several, and none of them stands for it."""
+    found = [s for s in model.stages if hasattr(s, "featureImportances") or hasattr(s, "coefficients")]
+    if len(found) != 1:
+        raise ValueError(f"the pipeline holds {len(found)} classifiers; explain the members of an ensemble one by one")
+    return found[0]
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel, features=FEATURES) -> DataFrame:

@@ -86,7 +86,7 @@ def compare_models(train: DataFrame, test: DataFrame, profiles: list[str], runs_
     return runs.leaderboard(table), models
 
 
-def evaluate_champion(test: DataFrame, model: PipelineModel, out: str, key: str = ID, explained_rows: int = 1000,
+def evaluate_champion(test: DataFrame, model: PipelineModel, out: str, key: str = ID, explained_rows: int | None = None,
                       bins: int = 10) -> None:
     """Write every evaluation table of one model below ``out``. The scored rows are computed once."""
     scored = model.transform(training.as_training(test)).persist(StorageLevel.MEMORY_AND_DISK)

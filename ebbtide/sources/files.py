@@ -46,21 +46,30 @@ def read_snapshot(spark: SparkSession, path: str, fmt: str = "csv", schema: T.St
                   keep_corrupt: bool = False) -> DataFrame:
     """Typed snapshot. A missing path is a FileNotFoundError.
 
-    CSV rows that do not parse become NULL cells; ``keep_corrupt`` adds their text.
+    CSV columns are bound by the names in the header, whatever their order; a declared
+    column that the file lacks is NULL, one that is not declared is left out, and further
+    files of a folder must have the same header. Rows that do not parse become NULL cells;
+    ``keep_corrupt`` adds their text.
     """
-    reader = spark.read
     if fmt == "csv":
-        if keep_corrupt:
-            schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        reader = reader.schema(schema).option("header", True).option("mode", "PERMISSIVE") \
-            .option("columnNameOfCorruptRecord", CORRUPT)
-    return nan_to_null(_load(reader, fmt, path))
+        return nan_to_null(_csv_by_name(spark, path, schema, keep_corrupt))
+    return nan_to_null(_load(spark.read, fmt, path))
+
+
+def _csv_by_name(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
+    declared = {f.name: f for f in schema.fields}
+    found = [declared.get(n, T.StructField(n, T.StringType())) for n in csv_header(spark, path)]
+    corrupt = [T.StructField(CORRUPT, T.StringType())] if keep_corrupt else []
+    reader = spark.read.schema(T.StructType([*found, *corrupt])).option("header", True).option("enforceSchema", False)
+    df = _load(reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT), "csv", path)
+    present = {f.name for f in found}
+    cells = [F.col(f"`{f.name}`") if f.name in present else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return df.select(*cells, *[CORRUPT for _ in corrupt])
 
 
 def read_text_snapshot(spark: SparkSession, path: str, schema: T.StructType = SNAPSHOT) -> DataFrame:
     """The CSV cells as text, so that type checks can count what does not cast."""
-    text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
-    return _load(spark.read.schema(text).option("header", True), "csv", path)
+    return _csv_by_name(spark, path, T.StructType([T.StructField(n, T.StringType()) for n in schema.names]))
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:

@@ -117,13 +117,13 @@ def test_split_is_a_partition_with_exact_shares(spark):
     assert marked.exceptAll(split.stratified_split(df.repartition(5), "k", "y")).count() == 0
 
 
-def test_cutoffs_by_refining_slices(spark):
+def test_cutoffs_end_the_quotas(spark):
     df = spark.range(2000).select("id", (F.col("id") % 3 == 0).alias("y"))
-    quotas = lambda sizes: {True: 100, False: 333}
-    plain = split.hash_cutoffs(df, "id", F.col("y"), quotas, 1)
-    assert split.hash_cutoffs(df, "id", F.col("y"), quotas, 1, ranked_rows=1) == plain
-    hashes = [(split_hash(1, r["id"]), str(r["id"])) for r in df.filter("y").collect()]
-    assert plain[True] == sorted(hashes)[99]
+    quotas = lambda sizes: sizes.select("_class", F.when(F.col("_class"), 100).otherwise(333).alias("_quota"))
+    found = {r["_class"]: (r["_last_hash"], r["_last_id"]) for r in split.hash_cutoffs(df, "id", F.col("y"), quotas, 1).collect()}
+    for y, quota in ((True, 100), (False, 333)):
+        hashes = [(split_hash(1, r["id"]), str(r["id"])) for r in df.filter(F.col("y") == y).collect()]
+        assert found[y] == sorted(hashes)[quota - 1]
 
 
 def split_hash(seed, key):
@@ -131,17 +131,22 @@ def split_hash(seed, key):
     return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
 
 
-def test_split_refuses_an_id_as_label(spark):
-    with pytest.raises(ValueError, match="not a class label"):
-        split.stratified_split(spark.range(1000).withColumn("y", F.col("id")), "id", "y")
+def test_split_of_many_classes_and_missing_values(spark):
+    df = spark.range(3000).withColumn("y", F.when(F.col("id") % 7 > 0, F.col("id") % 600))
+    df = df.unionByName(spark.range(9).select(F.lit(None).cast("long").alias("id"), F.col("id").alias("y")))
+    marked = split.stratified_split(df, "id", "y")
+    assert marked.filter("split = 'test'").count() == 602
+    shares = marked.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t"))
+    assert shares.filter(F.abs(F.col("t") - 0.2 * F.col("n")) >= 1).count() == 0
+    assert split.stratified_split(df.limit(0), "id", "y").count() == 0
 
 
-def test_large_samples_equal_sorted_samples(spark, monkeypatch):
+def test_samples_are_the_smallest_hashes(spark):
     df = spark.range(500)
-    plain = {r["id"] for r in split.sample_rows(df, 40, "id").collect()}
-    monkeypatch.setattr(split, "SORTED_SAMPLE", 10)
-    assert {r["id"] for r in split.sample_rows(df, 40, "id").collect()} == plain and len(plain) == 40
+    want = {i for _, i in sorted((split_hash(42, i), i) for i in range(500))[:40]}
+    assert {r["id"] for r in split.sample_rows(df, 40, "id").collect()} == want
     assert split.sample_rows(df, 900, "id").count() == 500 and split.sample_rows(df, None, "id").count() == 500
+    assert split.sample_rows(df, 0, "id").count() == 0
 
 
 def test_text_helpers(spark):

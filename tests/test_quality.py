@@ -150,8 +150,9 @@ def test_batch_modes(spark):
     checked = _requests(spark, {}, {"age": 16})
     valid, rejected = rules.accept(checked)
     assert (valid.count(), rejected.count()) == (1, 1)
-    with pytest.raises(rules.InvalidRequests):
+    with pytest.raises(rules.InvalidRequests) as refused:
         rules.accept(checked, "fail")
+    assert refused.value.rejected == 1 and refused.value.errors.count() == 1
     with pytest.raises(ValueError):
         rules.accept(checked, "other")
 
