@@ -14,6 +14,11 @@ from ebbtide.operators.statistics import percentiles, quantiles, small_columns
 QUARTILES = [0.25, 0.5, 0.75]
 
 
+# Rows of a histogram's ranges, one per column and group, that are sent to every task; beyond
+# that the rows of a group are spread over this many salts.
+RANGE_ROWS, SALTS = 10_000, 16
+
+
 def _q(name: str):
     return F.col(f"`{name}`")
 
@@ -158,7 +163,9 @@ def outlier_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def histogram(df: DataFrame, columns: list[str], bins: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """Equal-width bins over the range of each column (and group); empty bins are left out.
 
-    All columns share two scans: one for the ranges, one for the counts.
+    All columns share two scans: one for the ranges, one for the counts. The ranges, one row
+    per column and group, are counted and broadcast while they are few. With more groups
+    than that the join is salted, so that no group meets in one task; the bins are the same.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("double").alias("x")) for c in columns])
     long = df.select(*by, F.inline(cells)).filter(F.col("x").isNotNull())
@@ -168,9 +175,13 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 50, by: tuple[str,
         F.struct(F.lit(c).alias("_column"), F.col(f"_lo{i}").alias("_lo"), F.col(f"_hi{i}").alias("_hi"))
         for i, c in enumerate(columns)])))
     same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by], F.col("column") == F.col("_column"))
+    if not by or ranges.count() <= RANGE_ROWS:
+        joined = long.join(F.broadcast(ranges), same)
+    else:
+        salted = ranges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = long.withColumn("_of", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_of") == F.col("_salt")))
     return (
-        long.join(ranges, same)
-        .withColumn("bin", equal_width_bin(F.col("x"), F.col("_lo"), F.col("_hi"), bins))
+        joined.withColumn("bin", equal_width_bin(F.col("x"), F.col("_lo"), F.col("_hi"), bins))
         .groupBy(*by, "column", "bin").agg(F.count("*").alias("rows"))
     )
 

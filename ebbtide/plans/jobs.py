@@ -11,6 +11,7 @@ from ebbtide.functions import scorecard
 from ebbtide.operators import checks, curves, evaluation, explain, runs, scoring, split, training
 from ebbtide.operators import transformers as tf
 from ebbtide.schema import ID, TARGET, require_columns
+from ebbtide.session import work_path
 from ebbtide.sources import files, sinks
 
 
@@ -43,8 +44,14 @@ def risk_report(df: DataFrame) -> DataFrame:
 
 def build_features(df: DataFrame, out: str | None = None, test_size: float = 0.2, seed: int = 42, config: dict | None = None,
                    model_path: str | None = None, fmt: str = "parquet") -> tuple[DataFrame, DataFrame, tf.FeatureEngineerModel]:
-    """Stratified split, fit on the training part, transform both, write tables and pipeline."""
+    """Stratified split, fit on the training part, transform both, write tables and pipeline.
+
+    The rows are computed once and written; the split, the fit and the transformation read that table.
+    """
     require_columns(df, [ID, TARGET])
+    rows = work_path(df.sparkSession, "rows")
+    df.write.parquet(rows)
+    df = df.sparkSession.read.schema(df.schema).parquet(rows)
     marked = split.stratified_split(df, ID, TARGET, test_size, seed)
     model = tf.FeatureEngineer(config, keep=(ID, "split")).fit(marked.filter("split = 'train'"))
     features = model.transform(marked)

@@ -155,3 +155,10 @@ def test_text_helpers(spark):
         scalars.ellipsis(F.lit("x" * 51)).alias("c"), scalars.ellipsis(F.lit("x" * 50)).alias("d"),
         scalars.file_stem(F.lit("s3://bucket/a.b/file.csv")).alias("e"), scalars.file_stem(F.lit("plain")).alias("f")).first()
     assert tuple(row) == ("CUST000042", "CUST12345678", "x" * 50 + "...", "x" * 50, "file", "plain")
+
+
+def test_grouped_histograms_are_the_same_salted(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") % 97).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("g"))
+    plain = sorted(map(str, profile.histogram(df, ["x"], 7, by=("g",)).collect()))
+    monkeypatch.setattr(profile, "RANGE_ROWS", 0)
+    assert sorted(map(str, profile.histogram(df, ["x"], 7, by=("g",)).collect())) == plain and len(plain) == 21
