@@ -99,7 +99,8 @@ def _hosts(address: Column) -> tuple[Column, Column, Column]:
     """Host, its last two labels and its last label; a plain name is its own host without suffix."""
     host = F.lower(F.coalesce(F.nullif(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")), address))
     labels = F.split(host, r"\.")
-    return host, F.array_join(F.slice(labels, -2, 2), "."), F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise(F.lit(""))
+    domain = F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(host)
+    return host, domain, F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise(F.lit(""))
 
 
 def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", address_col: str = "source", keep: list[str] | None = None, name: str = "found") -> DataFrame:

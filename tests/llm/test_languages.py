@@ -19,7 +19,7 @@ def mixed(spark):
     rows = [(i, text(rng, lang, 30), lang, f"https://www.site{lang}.{lang if lang != 'en' else 'com'}/x{i}") for i in range(150) for lang in [rng.choice(list(STEMS))]]
     rows += [
         (900, text(rng, "fr", 40), "en", "https://www.sitefr.fr/y"), (901, None, "de", "https://a.de/"), (902, "12 34 !!", "fr", None), (903, "", None, None),
-        (904, text(rng, "de", 20), None, None), (905, "шш жж щщ юю " * 20, "en", "https://b.org"), (906, text(rng, "en", 5000), "en-GB", "plain"),
+        (904, text(rng, "de", 20), None, None), (905, "шш жж щщ юю " * 20, None, "https://b.org"), (906, text(rng, "en", 5000), "en-GB", "plain"),
         (907, "x", "EN_us", "https://c.com:80/?lang=de"), (None, text(rng, "en", 20), "en", "https://d.com"), (None, text(rng, "en", 20), "en", "https://d.com"),
     ]
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
