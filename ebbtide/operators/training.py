@@ -27,9 +27,9 @@ VECTOR = "_features"
 MAX_DEPTH = 30      # the deepest tree MLlib grows; "unlimited" means this
 MAX_BINS = {"forest": 32, "boosted": 64}
 FOLDS = 5
-# Least rows that make a partition worth its task, by model kind. Every partition sends
-# the statistics of all open nodes, so deep forests gain least from many partitions.
-ROWS_PER_PARTITION = {"logistic": 50_000, "forest": 50_000, "boosted": 20_000}
+# Rows of a training partition. Their number depends on the data alone, and rows go to
+# partitions by their values: bagging draws by partition, so the models are the same on any cluster.
+ROWS_PER_PARTITION = 50_000
 
 # The hyper-parameters of the compared runs.
 PROFILES = {
@@ -127,7 +127,10 @@ class _Task:
             return LogisticRegression(
                 regParam=1.0 / (settings.get("C", 1.0) * weight_sum), elasticNetParam=0.0, standardization=False,
                 maxIter=settings.get("max_iter", 1000), **common)
-        trees = {"maxDepth": min(settings.get("max_depth") or MAX_DEPTH, MAX_DEPTH), "maxBins": MAX_BINS[kind],
+        depth = settings.get("max_depth") or MAX_DEPTH
+        if depth > MAX_DEPTH:
+            raise ValueError(f"max_depth {depth}: trees grow to depth {MAX_DEPTH} at most")
+        trees = {"maxDepth": depth, "maxBins": MAX_BINS[kind],
                  "minInstancesPerNode": settings.get("min_instances", 1), "seed": SEED,
                  "subsamplingRate": settings.get("subsample", 1.0), "checkpointInterval": 10}
         if kind == "forest":
@@ -152,22 +155,13 @@ def profile_settings(profile: str | dict, **changes) -> dict:
     return {**(PROFILES[profile] if isinstance(profile, str) else profile), **changes}
 
 
-def _sized(train: DataFrame, rows: int, kind: str) -> DataFrame:
-    """Partitions that suit the work per row.
-
-    Each pass of a fit is one job, so tiny partitions only add overhead, while a small
-    input in one partition leaves cores idle. Inputs with at least as many partitions
-    as there are cores are only ever merged, and only while partitions are tiny.
-    """
-    now, wanted = train.rdd.getNumPartitions(), max(1, -(-rows // ROWS_PER_PARTITION[kind]))
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if now > wanted:
-        return train.coalesce(wanted)
-    return train.repartition(min(wanted, cores)) if now < min(wanted, cores) else train
+def _spread(df: DataFrame, columns) -> DataFrame:
+    """Partitions by the rows' values, sorted, as many as the rows need."""
+    named = [F.col(f"`{c}`") for c in columns]
+    return df.repartition(max(1, -(-df.count() // ROWS_PER_PARTITION)), *named).sortWithinPartitions(*named)
 
 
 def _fit(train: DataFrame, task: _Task, settings: dict, tag: str):
-    train = _sized(train, task.rows, settings["kind"])
     weighted = train.withColumn(WEIGHT, task.weight(settings.get("weights", "balanced"))).select("label", WEIGHT, VECTOR)
     classifier = task.classifier(settings)
     for param, column in _columns(tag).items():
@@ -186,7 +180,8 @@ class _Rows:
 
     def __init__(self, df: DataFrame, features, extra=()):
         shared_folder(df.sparkSession)  # boosting cuts its lineage with checkpoints there
-        self.kept = _assembler(features).transform(df).select("label", VECTOR, *extra).persist(StorageLevel.MEMORY_AND_DISK)
+        spread = _spread(df.select("label", *[F.col(f"`{c}`") for c in features], *extra), ["label", *features])
+        self.kept = _assembler(features).transform(spread).select("label", VECTOR, *extra).persist(StorageLevel.MEMORY_AND_DISK)
         self.task = _Task(self.kept)
 
     def __enter__(self):
