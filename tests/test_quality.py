@@ -54,7 +54,7 @@ def test_full_suite_on_clean_rows(customers):
 
 
 def test_type_check_counts_cells_that_do_not_cast(spark, customers, tmp_path):
-    broken = customers.withColumn("Age", F.when(F.col("CustomerID") == "CUST001", "old").otherwise(F.col("Age").cast("string")))
+    broken = customers.withColumn("Age", F.when(F.col("CustomerID") == "K-11", "old").otherwise(F.col("Age").cast("string")))
     text = files.read_text_snapshot(spark, _csv(broken, tmp_path))
     result = checks.run_suite(text, [checks.Check("type", "Age", {"type_": "int64"})]).first()
     assert (result["success"], result["unexpected_count"]) == (False, 1)
@@ -169,17 +169,17 @@ def test_batch_bodies(spark):
     bodies = [json.dumps({"customers": [VALID_REQUEST, {**VALID_REQUEST, "age": 5}]}), json.dumps({"customers": []})]
     df = files.explode_batches(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "batch int, body string"))
     rows = df.orderBy("batch", "position").collect()
-    assert [(r["batch"], r["position"], r["age"]) for r in rows] == [(0, 0, "32"), (0, 1, "5"), (1, None, None)]
+    assert [(r["batch"], r["position"], r["age"]) for r in rows] == [(0, 0, "44"), (0, 1, "5"), (1, None, None)]
 
 
 def test_renaming(spark):
     snapshot = shaping.requests_to_snapshot(rules.valid_rows(_requests(spark, {})))
     assert snapshot.columns == SNAPSHOT.names[:15]
-    assert snapshot.first()["MonthlyCharges"] == 55.2
+    assert snapshot.first()["MonthlyCharges"] == 72.5
 
 
 def test_soft_signals(spark):
-    signals = rules.soft_signals(rules.valid_rows(_requests(spark, {"tenure": 2, "total_charges": 110.4}))).first()
+    signals = rules.soft_signals(rules.valid_rows(_requests(spark, {"contract_type": "Two Year", "tenure": 2, "total_charges": 145.0}))).first()
     assert signals["new_two_year"] and not signals["long_monthly"]
 
 
