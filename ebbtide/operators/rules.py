@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.schema import CATEGORIES, REQUEST, REQUEST_RANGES, REQUEST_TO_SNAPSHOT, require_columns
+from ebbtide.schema import CATEGORIES, CORRUPT, REQUEST, REQUEST_RANGES, REQUEST_TO_SNAPSHOT, require_columns
 
 ERRORS = "errors"
 ERROR_TYPE = T.ArrayType(T.StructType([
@@ -92,7 +92,8 @@ def _total_charges_error(value: dict[str, Column], ok: dict[str, Column]) -> Col
 def check_requests(df: DataFrame) -> DataFrame:
     """Type the 15 request fields and add ``errors``, empty for a valid record.
 
-    Other columns (batch ids, positions) pass through. Fields may arrive as text.
+    Other columns (batch ids, positions) pass through. Fields may arrive as text. A line that
+    is no JSON object has that one error, with its text as the input.
     """
     require_columns(df, REQUEST.names)
     others = [c for c in df.columns if c not in REQUEST.names]
@@ -110,8 +111,11 @@ def check_requests(df: DataFrame) -> DataFrame:
     errors = [F.col(f"_{f}") for f in REQUEST.names]
     total = REQUEST.names.index("total_charges")
     errors[total] = F.coalesce(errors[total], _total_charges_error(value, ok))
-    return marked.select(*others, *REQUEST.names,
-                         F.filter(F.array(*errors, offline_usage), lambda e: e.isNotNull()).alias(ERRORS))
+    found = F.filter(F.array(*errors, offline_usage), lambda e: e.isNotNull())
+    if CORRUPT in others:
+        body = F.array(_error("__body__", "not a JSON object", "value_error.jsondecode", F.col(CORRUPT)))
+        found = F.when(F.col(CORRUPT).isNotNull(), body).otherwise(found)
+    return marked.select(*[c for c in others if c != CORRUPT], *REQUEST.names, found.alias(ERRORS))
 
 
 def soft_signals(df: DataFrame) -> DataFrame:

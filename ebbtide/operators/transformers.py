@@ -388,26 +388,27 @@ class FeatureEngineer(FittedBy):
                 [c for s in learning for c in s.categories(ready)],
             )
             pipeline = PipelineModel([s.build(statistics, ready) if isinstance(s, FittedBy) else s for s in stages])
-        return FeatureEngineerModel(pipeline, target, self["keep"])
+        # The schema of an empty input tells the names; no job runs.
+        made = pipeline.transform(df.limit(0)).columns
+        return FeatureEngineerModel(pipeline, target, self["keep"], [c for c in made if c not in {*self["keep"], target}])
 
 
 class FeatureEngineerModel(Transformer, MLReadable, MLWritable):
     """Fitted feature pipeline: kept columns, then features, then the target if present."""
 
-    def __init__(self, pipeline: PipelineModel, target: str = TARGET, keep=(ID,)):
+    def __init__(self, pipeline: PipelineModel, target: str, keep, names):
         super().__init__()
-        self.pipeline, self.target, self.keep = pipeline, target, list(keep)
+        self.pipeline, self.target, self.keep, self.names = pipeline, target, list(keep), list(names)
 
     def _transform(self, df):
         out = self.pipeline.transform(df)
         kept = [c for c in self.keep if c in out.columns]
         tail = [self.target] if self.target in out.columns else []
-        return out.select(*[F.col(f"`{c}`") for c in [*kept, *self.feature_names(out), *tail]])
+        return out.select(*[F.col(f"`{c}`") for c in [*kept, *self.names, *tail]])
 
-    def feature_names(self, df: DataFrame) -> list[str]:
-        """Feature columns of an output frame, or of the frame this model would make (no job)."""
-        out = df if "CallMinutes" not in df.columns and "ContractType" not in df.columns else self.pipeline.transform(df)
-        return [c for c in out.columns if c not in {*self.keep, self.target}]
+    def feature_names(self) -> list[str]:
+        """Feature columns of the frames this model makes, as the fit found them."""
+        return list(self.names)
 
     def stage(self, kind: type):
         return next(s for s in self.pipeline.stages if isinstance(s, kind))
@@ -428,11 +429,11 @@ class _EngineerWriter(MLWriter):
     def saveImpl(self, path):
         # The kept columns and the target travel as a leading marker stage.
         marker = ColumnExpressions()
-        marker._set(settings={"expressions": {}, "keep": self.model.keep, "target": self.model.target})
+        marker._set(settings={"expressions": {}, "keep": self.model.keep, "target": self.model.target, "names": self.model.names})
         PipelineModel([marker, *self.model.pipeline.stages]).write().save(path)
 
 
 class _EngineerReader(MLReader):
     def load(self, path):
         marker, *stages = PipelineModel.load(path).stages
-        return FeatureEngineerModel(PipelineModel(stages), marker["target"], marker["keep"])
+        return FeatureEngineerModel(PipelineModel(stages), marker["target"], marker["keep"], marker["names"])

@@ -62,6 +62,9 @@ REQUEST = T.StructType([
 
 # Requests as they arrive: every field is text until the row rules cast it.
 RAW_REQUEST = T.StructType([T.StructField(f, T.StringType()) for f in REQUEST.names])
+# Where readers put the text of a line or row that does not parse.
+CORRUPT = "_corrupt_record"
+REQUEST_LINE = T.StructType([*RAW_REQUEST.fields, T.StructField(CORRUPT, T.StringType())])
 
 # Three layers state ranges for the same columns and they differ, so each layer
 # keeps its own set. (low, high), None = open, both ends inclusive.

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.functions.scalars import file_stem
-from ebbtide.schema import RAW_REQUEST, SNAPSHOT, columns_of_type
-
-CORRUPT = "_corrupt_record"
+from ebbtide.schema import CORRUPT, RAW_REQUEST, REQUEST_LINE, SNAPSHOT, columns_of_type
 
 
 def _load(reader, fmt: str, path: str) -> DataFrame:
@@ -107,8 +105,11 @@ def with_batch_id(df: DataFrame, column: str = "batch_id") -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Scoring requests from JSON lines, every field as text until the row rules cast it."""
-    return _load(spark.read.schema(RAW_REQUEST), "json", path)
+    """Scoring requests from JSON lines, every field as text until the row rules cast it.
+
+    A line that is no JSON object keeps its text in a column of its own, for its reject.
+    """
+    return _load(spark.read.schema(REQUEST_LINE).option("columnNameOfCorruptRecord", CORRUPT), "json", path)
 
 
 def explode_batches(df: DataFrame, body: str = "body") -> DataFrame:

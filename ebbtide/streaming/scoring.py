@@ -11,12 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ebbtide.operators.rules import check_requests, rejects, valid_rows
 from ebbtide.operators.scoring import responses
 from ebbtide.operators.shaping import requests_to_snapshot
-from ebbtide.schema import RAW_REQUEST
+from ebbtide.schema import CORRUPT, REQUEST_LINE
 
 
 def read_request_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Request files as they arrive, JSON lines with text fields. The file limit bounds a micro-batch."""
-    reader = spark.readStream.schema(RAW_REQUEST)
+    reader = spark.readStream.schema(REQUEST_LINE).option("columnNameOfCorruptRecord", CORRUPT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(folder)

@@ -47,7 +47,14 @@ def test_golden_features(customers):
 
 def test_feature_names_need_no_job(customers):
     model = tf.FeatureEngineer().fit(customers)
-    assert model.feature_names(customers) == FEATURES
+    assert model.feature_names() == FEATURES
+
+
+def test_a_raw_column_may_stay_a_feature(customers):
+    config = {**tf.DEFAULT_CONFIG, "features_to_drop": [c for c in tf.DEFAULT_CONFIG["features_to_drop"] if c != "CallMinutes"]}
+    model = tf.FeatureEngineer(config).fit(customers)
+    out = model.transform(customers)
+    assert "CallMinutes" in model.feature_names() and out.columns == [ID, *model.feature_names(), "Churn"] and out.count() == 4
 
 
 @pytest.mark.parametrize("tenure,bucket", [

@@ -22,12 +22,13 @@ def test_stream_scores_and_rejects_across_restarts(spark, tmp_path):
     _put(tmp_path / "in", "one", {"customer_id": "a"}, {"customer_id": "b", "age": 16})
     _run(spark, tmp_path, files_per_batch=1)
     _put(tmp_path / "in", "two", {"customer_id": "c"}, {"customer_id": "d", "age": "thirty"})
+    (tmp_path / "in" / "three.json").write_text("{not json")
     _run(spark, tmp_path)
     valid = spark.read.parquet(str(tmp_path / "out/valid"))
     assert sorted(r["customer_id"] for r in valid.collect()) == ["a", "c"]
     rejected = spark.read.parquet(str(tmp_path / "out/rejects"))
-    assert sorted((r["customer_id"], r["type"]) for r in rejected.collect()) == [
-        ("b", "value_error.number.not_ge"), ("d", "type_error.integer")]
+    assert sorted((str(r["customer_id"]), r["type"], r["input"]) for r in rejected.collect()) == [
+        ("None", "value_error.jsondecode", "{not json"), ("b", "value_error.number.not_ge", "16"), ("d", "type_error.integer", "thirty")]
 
 
 def test_stream_with_a_model_equals_batch(spark, trained, snap, tmp_path):
