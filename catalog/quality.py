@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import SNAP, query, rounded
 from ebbtide.operators import checks, rules, shaping
-from ebbtide.schema import CATEGORIES, REQUEST, SNAPSHOT, SUITE_RANGES
+from ebbtide.schema import CATEGORIES, CONTRACT_OPEN_RANGES, CONTRACT_RANGES, REQUEST, SNAPSHOT, SUITE_RANGES
 from ebbtide.sources.snapshot import snapshot, table
 
 # A variant of the snapshot in which checks fail: a few cells missing, out of range,
@@ -100,6 +100,24 @@ def contract_severities(spark, folder):
     return rounded(results.filter("severity = 'warning'").select("column", "severity", "success", "observed"))
 
 
+def _contract_ranges_sql() -> str:
+    rows = []
+    for c, (lo, hi) in CONTRACT_RANGES.items():
+        rows.append((c, f"{c} < {lo}" + (f" OR {c} > {hi}" if hi is not None else "")))
+    for c, (lo, hi) in CONTRACT_OPEN_RANGES.items():
+        rows.append((c, f"{c} <= {lo} OR {c} >= {hi}"))
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {bad}) = 0 AS success, count(*) FILTER (WHERE {bad}) AS unexpected_count FROM faulty"
+        for c, bad in rows)
+
+
+@query("contract_ranges", f"WITH {SNAP}, {FAULTY} {_contract_ranges_sql()}")
+def contract_ranges(spark, folder):
+    """The contract's ranges, which differ from those of the suite and of the requests."""
+    results = checks.run_suite(faulty(spark, folder), checks.contract_suite())
+    return results.filter("kind = 'between'").select("column", "success", "unexpected_count")
+
+
 @query("missing_cells", f"WITH {SNAP}, {FAULTY} " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, CAST(0 AS BIGINT) AS infinite, "
     f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) AS missing_percent FROM faulty" for c in SNAPSHOT.names))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.schema import CATEGORIES, SNAPSHOT, SUITE_RANGES
+from ebbtide.schema import CATEGORIES, CONTRACT_OPEN_RANGES, CONTRACT_RANGES, SNAPSHOT, SUITE_RANGES
 
 # Public expectation names in suite files -> check kind.
 EXPECTATION_KINDS = {
@@ -82,19 +82,16 @@ def raw_data_suite(rows=(45_000, 55_000), mean_churn=(0.6, 0.7)) -> list[Check]:
     ]
 
 
-def contract_suite() -> list[Check]:
+def contract_suite(rows=(45_000, 55_000), churn_share=(0.6, 0.7)) -> list[Check]:
     """The written data contract: critical rules, and stability rules that only warn."""
     strict = [c for c in raw_data_suite() if c.kind in ("columns", "type", "not_null", "unique", "in_set")]
-    ranges = [
-        Check("between", c, {"min_value": lo})
-        for c, lo in (("CallMinutes", 0), ("DataUsage", 0), ("Age", 18), ("Tenure", 0))
-    ]
     return [
         *strict,
-        *ranges,
-        Check("between", "MonthlyCharges", {"min_value": 0, "strict_min": True}),
-        Check("share_between", "Churn", {"value": "Yes", "min_value": 0.6, "max_value": 0.7}, "warning"),
-        Check("row_count", args={"min_value": 45_000, "max_value": 55_000}, severity="warning"),
+        *[Check("between", c, {"min_value": lo, "max_value": hi}) for c, (lo, hi) in CONTRACT_RANGES.items()],
+        *[Check("between", c, {"min_value": lo, "max_value": hi, "strict_min": True, "strict_max": True})
+          for c, (lo, hi) in CONTRACT_OPEN_RANGES.items()],
+        Check("share_between", "Churn", {"value": "Yes", "min_value": churn_share[0], "max_value": churn_share[1]}, "warning"),
+        Check("row_count", args={"min_value": rows[0], "max_value": rows[1]}, severity="warning"),
     ]
 
 
