@@ -18,7 +18,7 @@ SHARE = 1.5
 #: Largest target, in epochs of the source.
 EPOCHS = 2.0
 #: Documents of a source that are summed up in one task.
-RANGE = 65_536
+RANGE = 4_096
 
 _GAP = r"[\x20\x09-\x0D]*"
 _SPACES = " \t\n\x0b\f\r"
