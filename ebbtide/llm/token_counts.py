@@ -15,7 +15,7 @@ from ebbtide.llm.tokens import encoded_slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Lengths that are summed up in one task.
-SPAN = 4096
+SPAN = 256
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -46,7 +46,7 @@ def limits(histogram: DataFrame, span: int = SPAN) -> DataFrame:
     """
     spans = histogram.select("length", "docs", F.expr(f"length div {span}").alias("span"), (F.col("length") * F.col("docs")).alias("tokens"))
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per 4,096 lengths: a few for any text that fits in memory.
+    # One row per 256 lengths: a few thousand for the longest text that fits in memory.
     totals = spans.groupBy("span").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     whole = Window.partitionBy()
     totals = totals.select(
