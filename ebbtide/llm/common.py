@@ -32,7 +32,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Bytes of a batch on its way to Python; texts may be long, so rows alone do not bound it.
+BATCH_BYTES = str(16 << 20)
+_DEFAULT_BATCH = str(64 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless its own setting differs from Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == _DEFAULT_BATCH:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -52,6 +65,7 @@ def narrowed(df: DataFrame, **columns: str) -> DataFrame:
 
     Whatever else the table holds, also under clashing names, stays out of the way.
     """
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
@@ -65,6 +79,22 @@ def text_slices(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, pa
             yield start, texts.slice(start, stop - start)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """What this worker process keeps from task to task: one thing at a time."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Let go of what earlier tasks of other operators left in this worker process."""
+    _KEPT.clear()
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column, empty for null."""
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
@@ -76,12 +106,14 @@ def with_column(docs: DataFrame, text_col: str, name: str, kind: str, compute: C
     The rows pass through as they are, so nothing has to be joined back by an id that may be
     null or repeated.
     """
+    bounded_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     made = f"_{name}"
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text__"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start, texts in text_slices(batch.column(len(keep))):
                 part = batch.slice(start, len(texts))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import as_bytes, narrowed, query, stored, table, text_slices
+from ebbtide.llm.common import as_bytes, narrowed, query, release, stored, table, text_slices
 from ebbtide.llm.components import connected_components
 
 SHINGLE = 4
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = narrowed(docs, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start, texts in text_slices(batch.column(1)):
                 marks = np.array([simhash(t, width) for t in as_bytes(texts)], np.uint64).view(np.int64)

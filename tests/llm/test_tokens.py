@@ -44,6 +44,21 @@ def test_words_of_a_whole_table(spark, big, tokenizer):
     assert got == [e.ids for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
 
 
+def test_forgotten_words_are_asked_for_again(spark, tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    from ebbtide.llm import common
+
+    monkeypatch.setattr(tokens, "MEMORY", 40)
+    encoder = tokens.Ids(PATH)
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] * 2
+    got = []
+    for _, part in common.text_slices(pa.array(texts), 1000):
+        row, n = encoder.encode(part)
+        got += [x.tolist() for x in np.split(row, np.cumsum(n)[:-1])]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=300))
 def test_elias_fano_selects_every_number(values):
