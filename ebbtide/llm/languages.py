@@ -1,7 +1,7 @@
 """Language by Bayesian fusion of text, declared language and address (operator 8).
 
 Each language has a model of hashed letter triplets, learned from the texts that declare
-it. The posterior of a row multiplies its text's likelihood, how far a declaration can be
+it; every declared one has a model. The posterior of a row multiplies its text's likelihood, how far a declaration can be
 trusted, and a prior of its host. Host priors are counts of what the texts say, smoothed
 by the parent domain, that by the address suffix, that by all rows.
 """
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import as_bytes, query, stored, table, text_slices, with_column
 
 BUCKETS = 1 << 14
-#: Languages that models are learned for: the most frequently declared ones.
-LANGUAGES = 64
-#: A declaration must occur on this many rows to be one of them.
-LEAST_ROWS = 5
+#: A model of fewer triplets is thin: more of it is smoothing than text.
+THIN = BUCKETS // 2
 #: Triplets of a text count no more than this many independent ones would.
 TRUST = 50
 #: Rows that a parent's distribution counts for in its child's.
@@ -57,32 +55,30 @@ class Models:
         self.languages = [*languages, UNKNOWN]
         smooth = counts + 0.5
         table = np.log(smooth / smooth.sum(axis=1, keepdims=True)) if len(languages) else np.empty((0, BUCKETS))
-        self.table = np.vstack([table, np.full(BUCKETS, -np.log(BUCKETS))])
+        # A row per bucket, so that a text reads the rows of its own triplets alone.
+        self.table = np.ascontiguousarray(np.vstack([table, np.full(BUCKETS, -np.log(BUCKETS))]).T)
+        self.thin = [c for c, n in zip(languages, counts.sum(axis=1)) if n < THIN]
 
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Triplets of each text, and its log likelihood in each language, tempered."""
         counts = [triplet_counts(t) for t in as_bytes(texts)]
         n = np.array([c.sum() for c in counts], np.int64)
-        likely = np.array([self.table @ c for c in counts]).reshape(len(counts), -1)
+        likely = np.array([c[used] @ self.table[used] for c in counts for used in [np.flatnonzero(c)]]).reshape(len(counts), -1)
         return n, likely * (np.minimum(n, TRUST) / np.maximum(n, 1))[:, None]
 
 
 def text_models(docs: DataFrame, text_col: str = "text", declared_col: str = "lang") -> Models:
     """Count triplets by declared language over all rows; each task sends one sum per language and bucket."""
     source = docs.select(F.col(f"`{text_col}`").alias("text"), primary(declared_col).alias("code")).where("code <> ''")
-    codes = [
-        r["code"] for r in source.groupBy("code").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "code").limit(LANGUAGES).collect()
-        if r["code"] != UNKNOWN
-    ]
-    codes.sort()
+    codes = sorted(r["code"] for r in source.where(F.col("code") != UNKNOWN).select("code").distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {c: np.zeros(BUCKETS, np.int64) for c in codes}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for start, texts in text_slices(batch.column(0)):
                 for code, text in zip(batch.column(1).slice(start, len(texts)).to_pylist(), as_bytes(texts)):
-                    if code in sums:
-                        sums[code] += triplet_counts(text)
+                    if code != UNKNOWN:
+                        sums[code] = sums.get(code, 0) + triplet_counts(text)
         for code, counts in sums.items():
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([code] * len(used), pa.string()), pa.array(used), pa.array(counts[used])], ["code", "bucket", "n"])
@@ -90,7 +86,8 @@ def text_models(docs: DataFrame, text_col: str = "text", declared_col: str = "la
     found = source.mapInArrow(run, "code string, bucket bigint, n bigint").groupBy("code", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(codes), BUCKETS))
     if found.num_rows:
-        at = [codes.index(c) for c in found.column("code").to_pylist()]
+        place = {c: i for i, c in enumerate(codes)}
+        at = [place[c] for c in found.column("code").to_pylist()]
         counts[at, found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return Models(codes, counts)
 
@@ -106,7 +103,8 @@ def _hosts(address: Column) -> tuple[Column, Column, Column]:
 def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", address_col: str = "source", keep: list[str] | None = None, name: str = "found") -> DataFrame:
     """``docs`` (or its columns ``keep``) with a struct ``name``: language, confidence, text_language, n_triplets, kept.
 
-    Kept are rows with letters whose language is known with enough confidence. A null or
+    Kept are rows with letters whose language is known with enough confidence. Where that
+    would reject a row that declares a language with a thin model, the declaration decides. A null or
     empty text, or one without letters, gives no evidence: declaration and host decide the
     language, and the row is not kept. A null declaration or address gives no evidence
     either. Without any declared language, every row is unknown. Repeated rows and null ids
@@ -121,7 +119,7 @@ def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lan
 
     kept = docs.columns if keep is None else keep
     needed = list(dict.fromkeys([*kept, declared_col, address_col]))
-    inner = {c: f"{c}__own" for c in needed if c in ("evidence", "said", "host", "domain", "suffix", "posterior", "prior", name)}
+    inner = {c: f"{c}__own" for c in needed if c in ("evidence", "said", "host", "domain", "suffix", "posterior", "prior", "best", "whole", name)}
     renamed = docs.withColumnsRenamed(inner)
     own = lambda c: inner.get(c, c)
     scored = with_column(renamed, own(text_col), "evidence", "struct<n: bigint, likely: array<double>>", compute, [own(c) for c in needed])
@@ -129,12 +127,12 @@ def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lan
     scored = stored(scored.withColumns({"said": primary(own(declared_col)), "host": host, "domain": domain, "suffix": suffix}), "evidence")
 
     # What the texts alone say, as soft counts.
-    top = F.array_max("evidence.likely")
-    raised = F.transform("evidence.likely", lambda x: F.exp(x - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    soft = scored.where("evidence.n > 0").select(
-        "said", "host", "domain", "suffix", *[(raised[i] / total).alias(f"p{i}") for i in range(size)]
-    )
+    # Each step is a column of its own: a lambda would compute it again for every language.
+    keys = ("said", "host", "domain", "suffix")
+    soft = scored.where("evidence.n > 0").select(*keys, "evidence.likely", F.array_max("evidence.likely").alias("top"))
+    soft = soft.select(*keys, F.transform("likely", lambda x: F.exp(x - F.col("top"))).alias("raised"))
+    soft = soft.select(*keys, "raised", F.aggregate("raised", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    soft = soft.select(*keys, *[(F.col("raised")[i] / F.col("total")).alias(f"p{i}") for i in range(size)])
     sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(size)]
     vector = F.array(*[F.col(f"p{i}") for i in range(size)])
     everything = soft.agg(*[F.coalesce(F.sum(f"p{i}"), F.lit(0.0)) for i in range(size)]).first()
@@ -149,7 +147,7 @@ def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lan
     def smoothed(counts: Column, parent: Column) -> Column:
         """A child's shares, drawn towards its parent's by SMOOTHING rows."""
         n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, parent, lambda x, p: (x + SMOOTHING * p) / (n + SMOOTHING))
+        return F.transform(F.array(n), lambda m: F.zip_with(counts, parent, lambda x, p: (x + SMOOTHING * p) / (m + SMOOTHING)))[0]
 
     base = F.array(*[F.lit(s) for s in shares])
     level = lambda keys: soft.groupBy(*keys).agg(*sums).select(*keys, vector.alias("c"))
@@ -166,14 +164,21 @@ def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lan
     joined = joined.withColumn("posterior", F.zip_with(
         F.zip_with("evidence.likely", prior, lambda a, b: a + b), F.coalesce(said_weight, none), lambda a, b: a + b
     ))
-    best = F.array_max("posterior")
+    joined = joined.withColumn("best", F.array_max("posterior"))
+    raised = F.transform("posterior", lambda x: F.exp(x - F.col("best")))
+    joined = joined.withColumn("whole", F.aggregate(raised, F.lit(0.0), lambda a, x: a + x))
     names = F.array(*[F.lit(c) for c in codes])
-    language = F.element_at(names, F.array_position("posterior", best).cast("int"))
-    confidence = 1 / F.aggregate(F.transform("posterior", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
+    likeliest = F.element_at(names, F.array_position("posterior", F.col("best")).cast("int"))
+    clear = (likeliest != UNKNOWN) & (1 / F.col("whole") >= CONFIDENCE)
+    # A thin model cannot hold its own against better ones; what would be rejected goes by its declaration.
+    declares = (F.col("evidence.n") > 0) & ~clear & F.coalesce(F.col("said").isin(models.thin), F.lit(False))
+    language = F.when(declares, F.col("said")).otherwise(likeliest)
+    said_posterior = F.element_at("posterior", F.array_position(names, F.col("said")).cast("int"))
+    confidence = F.when(declares, F.exp(said_posterior - F.col("best"))).otherwise(1.0) / F.col("whole")
     text_language = F.when(F.col("evidence.n") > 0, F.element_at(names, F.array_position("evidence.likely", F.array_max("evidence.likely")).cast("int")))
     found = F.struct(
         language.alias("language"), confidence.alias("confidence"), text_language.alias("text_language"), F.col("evidence.n").alias("n_triplets"),
-        ((F.col("evidence.n") > 0) & (language != UNKNOWN) & (confidence >= CONFIDENCE)).alias("kept"),
+        ((F.col("evidence.n") > 0) & (clear | declares)).alias("kept"),
     )
     return joined.select(*[F.col(f"`{own(c)}`").alias(c) for c in kept], found.alias(name))
 
