@@ -11,15 +11,6 @@ from ebbtide.schema import ID
 from ebbtide.session import work_path
 from ebbtide.sources.snapshot import snapshot
 
-# Base models of the registered ensembles: one of each kind, with fewer trees than the full profiles.
-BASES = (
-    training.PROFILES["logistic-baseline"],
-    {**training.PROFILES["rf-forest"], "n_estimators": 20, "max_depth": 8},
-    {**training.PROFILES["xgb-conservative"], "n_estimators": 10},
-)
-SMALL_FOREST = {**training.PROFILES["rf-default"], "n_estimators": 20, "max_depth": 6}
-SMALL_BOOSTED = {**training.PROFILES["xgb-conservative"], "n_estimators": 20}
-
 
 def complete_customers(spark, folder):
     """All customers; those without any order get the training customers' median price, as models take no missing values."""
@@ -58,31 +49,31 @@ def train_boosted(spark, folder):
 @query("train_boosted_by_leaves")
 def train_boosted_by_leaves(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return _predictions(training.train(train, "lgbm-default", n_estimators=30), test)
+    return _predictions(training.train(train, "lgbm-default"), test)
 
 
 @query("train_voting")
 def train_voting(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return _predictions(training.train_voting(train, BASES), test)
+    return _predictions(training.train_voting(train), test)
 
 
 @query("train_voting_by_majority")
 def train_voting_by_majority(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return training.train_voting(train, BASES, voting="hard").transform(test).select(ID, "label", "prediction")
+    return training.train_voting(train, voting="hard").transform(test).select(ID, "label", "prediction")
 
 
 @query("train_stacking")
 def train_stacking(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return _predictions(training.train_stacking(train, ID, BASES), test)
+    return _predictions(training.train_stacking(train, ID), test)
 
 
 @query("model_comparison")
 def model_comparison(spark, folder):
     train, test, _ = jobs.build_features(complete_customers(spark, folder))
-    return jobs.compare_models(train, test, ["logistic-baseline", "rf-default"])[0]
+    return jobs.compare_models(train, test, list(training.PROFILES))[0]
 
 
 @query("model_reloaded")
@@ -102,7 +93,7 @@ def coefficient_importance(spark, folder):
 @query("impurity_importance")
 def impurity_importance(spark, folder):
     train, _, _ = prepared(spark, folder)
-    return training.feature_importance(spark, training.train(train, SMALL_FOREST))
+    return training.feature_importance(spark, training.train(train, "rf-default"))
 
 
 @query("model_responses")
@@ -131,19 +122,19 @@ def linear_contributions(spark, folder):
 @query("forest_contributions")
 def forest_contributions(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return explain.long_contributions(explain.explain(test, training.train(train, SMALL_FOREST), ID), ID)
+    return explain.long_contributions(explain.explain(test, training.train(train, "rf-default"), ID), ID)
 
 
 @query("boosted_contributions")
 def boosted_contributions(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return explain.long_contributions(explain.explain(test, training.train(train, SMALL_BOOSTED), ID), ID)
+    return explain.long_contributions(explain.explain(test, training.train(train, "xgb-conservative"), ID), ID)
 
 
 @query("contribution_importance")
 def contribution_importance(spark, folder):
     train, test, _ = prepared(spark, folder)
-    return explain.global_importance(explain.explain(test, training.train(train, SMALL_FOREST), ID))
+    return explain.global_importance(explain.explain(test, training.train(train, "rf-default"), ID))
 
 
 @query("contributions_of_extremes")

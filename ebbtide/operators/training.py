@@ -25,7 +25,7 @@ SEED = 42
 WEIGHT = "_weight"
 VECTOR = "_features"
 MAX_DEPTH = 30      # the deepest tree MLlib grows; "unlimited" means this
-MAX_BINS = {"forest": 32, "boosted": 64}
+MAX_BINS = {"forest": 256, "boosted": 256}
 FOLDS = 5
 # Rows of a training partition. Their number depends on the data alone, and rows go to
 # partitions by their values: bagging draws by partition, so the models are the same on any cluster.
