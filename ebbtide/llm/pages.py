@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import narrowed, query, table, text_slices
+from ebbtide.llm.common import narrowed, query, stored, table, text_slices
 
-#: Names that the weights are learned for at most, the most frequent; rarer ones have none.
+#: Names whose weights are sent to all tasks; if there are more, each page gets those of its own names by a join.
 NAMES = 4096
 #: Pages a name must occur on to have a learned weight.
 LEAST_PAGES = 5
@@ -179,17 +179,63 @@ def page_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return counted.groupBy("kind", "name").agg(F.sum("pages").alias("pages"), F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
 
 
-def learned_weights(pages: DataFrame, html_col: str = "html", names: int = NAMES) -> Weights:
-    """Weights from all pages that mark their main text; at most ``names`` names reach the driver.
+def _weights(counts) -> Weights:
+    """Weights from rows (kind, name, inside, outside)."""
+    odds: dict[str, dict[str, float]] = {"word": {}, "tag": {}}
+    for r in counts:
+        odds[r["kind"]][r["name"]] = float(np.clip(np.log((r["inside"] + 0.5) / (r["outside"] + 0.5)), Weights.LEAST, 1.0))
+    return Weights(odds["word"], {t: float(np.clip(o, Weights.TAG_LEAST, -0.02)) for t, o in odds["tag"].items()})
+
+
+def learned_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Counts of all names and tags that occur on enough of the pages that mark their main text."""
+    return page_counts(pages, html_col).where(F.col("pages") >= LEAST_PAGES).select("kind", "name", "inside", "outside")
+
+
+def learned_weights(pages: DataFrame, html_col: str = "html") -> Weights:
+    """Weights from all pages that mark their main text, of all names on the driver.
 
     A name or tag weighs the log of its odds to be inside, cut to a few units; tags never
     count in favour. Without such pages, words count one and tags a little against.
     """
-    counts = page_counts(pages, html_col).where(F.col("pages") >= LEAST_PAGES).orderBy(F.desc("pages"), "kind", "name").limit(names)
-    odds: dict[str, dict[str, float]] = {"word": {}, "tag": {}}
-    for r in counts.collect():
-        odds[r["kind"]][r["name"]] = float(np.clip(np.log((r["inside"] + 0.5) / (r["outside"] + 0.5)), Weights.LEAST, 1.0))
-    return Weights(odds["word"], {t: float(np.clip(o, Weights.TAG_LEAST, -0.02)) for t, o in odds["tag"].items()})
+    return _weights(learned_counts(pages, html_col).collect())
+
+
+def learned_main_texts(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), names: int = NAMES) -> DataFrame:
+    """``main_texts`` by weights learned from ``pages`` themselves, for any number of names.
+
+    Up to ``names`` weights go to all tasks. More stay a table, which is joined to the names of
+    each page; both ways give the same texts.
+    """
+    counts = stored(learned_counts(pages, html_col), "names")
+    if counts.count() <= names:
+        return main_texts(pages, _weights(counts.collect()), html_col, keep)
+    html = F.col(f"`{html_col}`")
+    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(html).alias("__page__"), html.alias("__html__"))
+
+    def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch.column(1)):
+                rows = [
+                    (page, *key) for page, text in zip(batch.column(0).slice(start, len(texts)).to_pylist(), texts.to_pylist())
+                    for key in {k for kind, value, inside, _, _ in parts(text or "") for k in ([("tag", value)] if kind == "tag" else [("word", n) for n in inside])}
+                ]
+                columns = zip(*rows) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["__page__", "kind", "name"])
+
+    found = source.select("__page__", "__html__").mapInArrow(names_of, "__page__ bigint, kind string, name string").distinct().join(counts, ["kind", "name"])
+    own = found.groupBy("__page__").agg(F.collect_list(F.struct("kind", "name", "inside", "outside")).alias("__counts__"))
+    joined = source.join(own, "__page__", "left").select(*[F.col(f"`{c}`") for c in keep], "__counts__", "__html__")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(keep)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch.column(len(keep) + 1)):
+                part = batch.slice(start, len(texts))
+                texts_found = [main_text(h, _weights(c or ())) for h, c in zip(texts.to_pylist(), part.column(len(keep)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts_found, pa.string())], [*keep, "text"])
+
+    return joined.mapInArrow(run, f"{fields}, text string")
 
 
 def main_texts(pages: DataFrame, weights: Weights, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -215,4 +261,4 @@ def main_texts(pages: DataFrame, weights: Weights, html_col: str = "html", keep:
 def op9_html(spark, folder):
     """Main text of every page."""
     pages = table(spark, folder, "pages")
-    return main_texts(pages, learned_weights(pages)).withColumn("n_chars", F.length("text").cast("bigint"))
+    return learned_main_texts(pages).withColumn("n_chars", F.length("text").cast("bigint"))
