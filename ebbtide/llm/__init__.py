@@ -4,6 +4,6 @@
 """
 
 from ebbtide.llm import (  # noqa: F401
-    digests, language_model, languages, mixing, near_duplicates, packing, pages, quality, token_counts, token_files,
+    digests, exact_duplicates, language_model, languages, mixing, near_duplicates, packing, pages, quality, token_counts, token_files,
 )
 from ebbtide.llm.common import ORACLES, QUERIES  # noqa: F401
