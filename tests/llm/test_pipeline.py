@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ebbtide.llm import quality
 from tests.llm.test_mixing import WORD, plain_mix
-from tests.llm.test_near_duplicates import plain_components, plain_fingerprint
+from tests.llm.test_similar_documents import plain_groups
 from tests.llm.test_tokens import PATH, check_packed
 
 
@@ -50,9 +50,9 @@ def test_language(steps):
 
 
 def test_one_of_each_group(steps):
+    """Five-word shingles and a similarity of 0.8, exact sets of all pairs that share a shingle."""
     rows, _ = steps
-    found = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in rows[2]])
-    assert sorted(r.doc_id for r in rows[3]) == sorted({c for _, _, c in found}) and set(rows[3]) <= set(rows[2])
+    assert sorted(r.doc_id for r in rows[3]) == plain_groups([(r.doc_id, r.text) for r in rows[2]]) and set(rows[3]) <= set(rows[2])
 
 
 def test_mix(steps):
