@@ -74,11 +74,11 @@ def compare_models(train: DataFrame, test: DataFrame, profiles: list[str], runs_
     spark = train.sparkSession
     labelled = training.as_training(train).persist(StorageLevel.MEMORY_AND_DISK)
     held_out = training.as_training(test).persist(StorageLevel.MEMORY_AND_DISK)
-    results, models = [], {}
+    results = []
     try:
+        models = dict(zip(profiles, training.train_many(labelled, profiles)))
         for name in profiles:
             settings = training.profile_settings(name)
-            models[name] = training.train(labelled, name)
             measured = evaluation.metrics(models[name].transform(held_out)).first().asDict()
             results.append((name, training.MODEL_TYPES[settings["kind"]], *[measured[m] for m in (
                 "roc_auc", "accuracy", "precision", "recall", "f1")]))
