@@ -101,6 +101,11 @@ def _assembler(features) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=VECTOR)
 
 
+def vectors(df: DataFrame, features=FEATURES) -> DataFrame:
+    """``df`` with its feature vector, as fitted classifiers take it."""
+    return _assembler(features).transform(df)
+
+
 class _Task:
     """Class counts of the training rows and the weights that follow from them."""
 
