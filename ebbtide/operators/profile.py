@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import equal_width_bin
-from ebbtide.operators.statistics import percentiles, quantiles, small_columns
+from ebbtide.operators.statistics import quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -31,40 +31,24 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max: one row per column (and group).
-
-    One scan sizes the columns, one more brings everything. Only columns with very many
-    distinct values have their quartiles ranked apart.
-    """
-    small = small_columns(df, columns)
+    """count, mean, sample std, min, quartiles, max: one row per column (and group)."""
     wide = df.groupBy(*by).agg(*[
         f(_q(c)).alias(f"_{n}{i}") for i, c in enumerate(columns)
         for n, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
-    ], *[percentiles(c, QUARTILES).alias(f"_q{i}") for i, c in enumerate(columns) if c in small])
-
-    def quartile(i, c, j):
-        return F.get(F.col(f"_q{i}"), F.lit(j)) if c in small else F.lit(None).cast("double")
-
+    ])
     cells = [
         F.struct(F.lit(c).alias("column"), F.col(f"_count{i}").alias("count"), F.col(f"_mean{i}").alias("mean"),
-                 F.col(f"_std{i}").alias("std"), F.col(f"_min{i}").cast("double").alias("min"),
-                 *[quartile(i, c, j).alias(n) for j, n in enumerate(("p25", "p50", "p75"))],
-                 F.col(f"_max{i}").cast("double").alias("max"))
+                 F.col(f"_std{i}").alias("std"), F.col(f"_min{i}").cast("double").alias("min"), F.col(f"_max{i}").cast("double").alias("max"))
         for i, c in enumerate(columns)
     ]
     table = wide.select(*by, F.inline(F.array(*cells)))
-    large = [c for c in columns if c not in small]
-    if not large:
-        return table
     ranks = (
-        quantiles(df, large, QUARTILES, by)
+        quantiles(df, columns, QUARTILES, by)
         .groupBy(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("column").alias("_column"))
-        .agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"_p{int(p * 100)}") for p in QUARTILES])
+        .agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
     )
     same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by], F.col("column") == F.col("_column"))
-    return table.join(ranks, same, "left").select(
-        *by, "column", "count", "mean", "std", "min",
-        *[F.coalesce(n, f"_{n}").alias(n) for n in ("p25", "p50", "p75")], "max")
+    return table.join(ranks, same, "left").select(*by, "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def five_numbers(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -140,7 +124,8 @@ def iqr_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _bounds_dict(df, columns) -> dict:
-    return {r["column"]: (r["lower"], r["upper"]) for r in iqr_bounds(df, columns).collect()}  # one row per column
+    found = {r["column"]: (r["lower"], r["upper"]) for r in iqr_bounds(df, columns).collect()}  # one row per column
+    return {c: tuple(F.lit(x).cast("double") for x in found.get(c, (None, None))) for c in columns}
 
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
@@ -155,7 +140,7 @@ def outlier_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     wide = df.agg(F.count("*").alias("_rows"), *[
         F.count_if((_q(c) < bounds[c][0]) | (_q(c) > bounds[c][1])).alias(f"_o{i}") for i, c in enumerate(columns)])
     return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(bounds[c][0]).alias("lower"), F.lit(bounds[c][1]).alias("upper"),
+        F.struct(F.lit(c).alias("column"), bounds[c][0].alias("lower"), bounds[c][1].alias("upper"),
                  F.col(f"_o{i}").alias("outliers"), (F.col(f"_o{i}") * 100.0 / F.col("_rows")).alias("percent"))
         for i, c in enumerate(columns)])))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions import features as fx
-from ebbtide.operators.statistics import fit_statistics
+from ebbtide.operators.statistics import ONE_HOT_LIMIT, fit_statistics
 from ebbtide.schema import ID, TARGET, require_columns
 
 
@@ -155,12 +155,24 @@ class HighRisk(FittedBy):
         return HighRiskModel(median=statistics["quantiles"][("MonthlyCharges", 0.5)])
 
 
-def _label_code(column: str, labels: list) -> Column:
-    """0-based position in the sorted labels; an unseen or missing label is an error."""
-    code = F.raise_error(F.concat(F.lit(f"unseen label in {column}: "), F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
-    for position, label in reversed(list(enumerate(labels))):
-        code = F.when(F.col(column) == label, F.lit(position)).otherwise(code)
-    return code
+#: Labels that are coded by a condition each; longer lists are joined as a table.
+LISTED = 32
+
+
+def _coded(df: DataFrame, column: str, labels: list) -> DataFrame:
+    """The column as the 0-based position in the sorted labels; an unseen or missing label is an error."""
+    unseen = F.raise_error(F.concat(F.lit(f"unseen label in {column}: "), F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("NULL"))))
+    if len(labels) <= LISTED:
+        code = unseen
+        for position, label in reversed(list(enumerate(labels))):
+            code = F.when(F.col(f"`{column}`") == label, F.lit(position)).otherwise(code)
+        return df.withColumn(column, code)
+    # As large as the model; Spark sends it to all tasks if it is small by its size, else both sides are shuffled.
+    value, position = f"_label_of_{column}", f"_code_of_{column}"
+    kind = dict(df.dtypes)[column]
+    table = df.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))), f"`{value}` {kind}, `{position}` int")
+    joined = df.join(table, F.col(f"`{column}`") == F.col(f"`{value}`"), "left")
+    return joined.withColumn(column, F.coalesce(F.col(f"`{position}`"), unseen)).drop(value, position)
 
 
 class CategoricalModel(Stage):
@@ -168,11 +180,13 @@ class CategoricalModel(Stage):
         super().__init__(binary=binary or {}, one_hot=one_hot or {})
 
     def _transform(self, df):
-        present = {c: labels for c, labels in self["binary"].items() if c in df.columns}
         spread = {c: spec for c, spec in self["one_hot"].items() if c in df.columns}
-        new = {c: _label_code(c, labels) for c, labels in present.items()}
+        new = {}
         for c, spec in spread.items():
             new.update(fx.one_hot(F.col(c), c, spec["categories"], spec["drop_first"]))
+        for c, labels in self["binary"].items():
+            if c in df.columns:
+                df = _coded(df, c, labels)
         return df.withColumns(new).drop(*spread)
 
 
@@ -192,6 +206,9 @@ class CategoricalEncoder(FittedBy):
 
     def build(self, statistics, df):
         seen = statistics["categories"]
+        for c in self["one_hot"]:
+            if len(seen.get(c, ())) > ONE_HOT_LIMIT:
+                raise ValueError(f"{c} has {len(seen[c])} values and would become as many columns")
         binary = {}
         for c, spec in self["binary"].items():
             if c in df.columns:
@@ -284,9 +301,8 @@ class TargetModel(Stage):
     def __init__(self, column=TARGET, labels=("No", "Yes")):
         super().__init__(column=column, labels=list(labels))
 
-    def columns(self, df):
-        c = self["column"]
-        return {c: _label_code(c, self["labels"])} if c in df.columns else {}
+    def _transform(self, df):
+        return _coded(df, self["column"], self["labels"]) if self["column"] in df.columns else df
 
 
 class TargetEncoder(FittedBy):

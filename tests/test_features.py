@@ -206,3 +206,18 @@ def test_config_file(customers, tmp_path):
     path.write_text(json.dumps({**tf.DEFAULT_CONFIG, "scaling": {"method": "minmax"}}))
     out = tf.FeatureEngineer(read_config(str(path))).fit(customers).transform(customers)
     assert out.agg(F.min("Age"), F.max("Age")).first()[:2] == (0.0, 1.0)
+
+
+def test_columns_of_many_values(spark, tmp_path):
+    """A long list of labels is joined as a table, also after saving; only one-hot columns are refused, by an exact count."""
+    df = spark.range(100_000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("city"), (F.col("id") % 2).alias("other"))
+    model = tf.CategoricalEncoder(binary={"city": {}}).fit(df)
+    model.write().save(str(tmp_path / "codes"))
+    for fitted in (model, tf.CategoricalModel.load(str(tmp_path / "codes"))):
+        coded = fitted.transform(df.withColumn("want", F.substring("city", 2, 6).cast("int")))
+        assert coded.columns == ["city", "other", "want"] and coded.filter("city = want").count() == 100_000
+    with pytest.raises(Exception, match="unseen label in city: new"):
+        model.transform(spark.createDataFrame([("new", 1)], "city string, other long")).collect()
+    with pytest.raises(ValueError, match="1001 values"):
+        tf.CategoricalEncoder(one_hot={"city": {}}).fit(df.limit(1001))
+    assert len(tf.CategoricalEncoder(one_hot={"city": {}}).fit(df.limit(1000)).transform(df.limit(5)).columns) == 1000

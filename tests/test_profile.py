@@ -28,6 +28,25 @@ def test_quantiles_are_exact_both_ways(numbers, limit):
     assert sorted(r["value"] for r in whole) == pytest.approx(sorted(np.quantile(data.x, probs)), abs=1e-12)
 
 
+def test_quantiles_by_counting_cuts(spark, monkeypatch):
+    """Several passes: few cuts a pass, values of all sizes, groups that are NULL, columns without values."""
+    from ebbtide.operators import statistics
+
+    monkeypatch.setattr(statistics, "CUTS", 64)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([10.0 ** rng.integers(-300, 300, 200), -rng.random(200), np.zeros(150), [np.inf, -np.inf, 1.7e308, -1.7e308, np.nan]])
+    rows = [(float(v), float(i % 7), None if i % 4 == 0 else "ab"[i % 2], None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, y double, g string, nothing double")
+    probs = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    for by in ((), ("g",)):
+        few, many = ({(*[r[b] for b in by], r["column"], r["prob"]): r["value"] for r in quantiles(df, ["x", "y", "nothing"], probs, by, limit).collect()} for limit in (10_000, 20))
+        assert few.keys() == many.keys() and len(few) == 12 * (3 if by else 1)
+        for key, value in few.items():
+            assert value == many[key] or value == pytest.approx(many[key], rel=1e-12), key
+    whole = {(r["column"], r["prob"]): r["value"] for r in quantiles(df, ["x", "y"], probs, (), 20).collect()}
+    assert whole["x", 0.0] == -np.inf and whole["x", 1.0] == np.inf and whole["x", 0.5] == np.quantile(x[~np.isnan(x)], 0.5)
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals_agree_with_and_without_ranges(numbers, descending):
     counts = numbers.groupBy("x").agg(F.count("*").alias("n"))
@@ -46,7 +65,6 @@ def test_describe_agrees_with_pandas(numbers):
 
 def test_describe_ranks_large_columns(numbers, monkeypatch):
     small = profile.describe(numbers, ["x", "id"], ("g",)).orderBy("g", "column").collect()
-    monkeypatch.setattr(profile, "small_columns", lambda df, columns: ["id"])
     monkeypatch.setattr(profile, "quantiles", lambda df, c, p, by: quantiles(df, c, p, by, distinct_limit=50))
     ranked = profile.describe(numbers, ["x", "id"], ("g",)).orderBy("g", "column").collect()
     for a, b in zip(small, ranked):
