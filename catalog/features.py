@@ -97,6 +97,13 @@ def columns_dropped(spark, folder):
     return tf.ColumnDropper(["CallMinutes", "DataUsage", "ChurnProbability", "NotThere"]).transform(snapshot(spark, folder))
 
 
+@query("target_split_off", f"WITH {SNAP} SELECT * EXCLUDE (Churn), Churn AS target FROM snap")
+def target_split_off(spark, folder):
+    df = snapshot(spark, folder)
+    columns, target = shaping.split_target(df)
+    return df.select(*columns, F.col(target).alias("target"))
+
+
 @query("columns_wrapped", f"WITH {SNAP} SELECT * REPLACE (MonthlyCharges * 2 AS MonthlyCharges) FROM snap")
 def columns_wrapped(spark, folder):
     return tf.ColumnExpressions({"MonthlyCharges": "MonthlyCharges * 2"}).transform(snapshot(spark, folder))
@@ -153,6 +160,13 @@ def encoded_by_mapping(spark, folder):
     return tf.CategoricalEncoder(spec).fit(df).transform(df)
 
 
+@query("many_labels_encoded", f"WITH {SNAP} SELECT CAST(row_number() OVER (ORDER BY CustomerID) - 1 AS INTEGER) AS CustomerID, Age FROM snap")
+def many_labels_encoded(spark, folder):
+    """A label for every customer: as many codes as rows."""
+    df = snapshot(spark, folder).select("CustomerID", "Age")
+    return tf.CategoricalEncoder({"CustomerID": {}}).fit(df).transform(df)
+
+
 SCALED = ["Age", "Tenure", "MonthlyCharges", "Engagement"]
 
 

@@ -10,6 +10,8 @@ from catalog.base import LINES, SNAP, engineered_sql, query, rounded
 from ebbtide.operators import profile
 from ebbtide.operators.transformers import FeatureEngineer
 from ebbtide.schema import FEATURES
+from ebbtide.session import work_path
+from ebbtide.sources import sinks
 from ebbtide.sources.snapshot import scored_customers, snapshot, table
 
 NUMERIC = ["Age", "Tenure", "MonthlyCharges", "TotalCharges", "CallMinutes", "DataUsage", "Complaints",
@@ -95,6 +97,14 @@ def target_correlation_top(spark, folder):
     return rounded(profile.target_correlation(scored_customers(spark, folder), NUMERIC, "label", 5))
 
 
+@query("correlation_written", f"WITH {SNAP}, pairs AS ({_correlations_sql('scored', [(c, 'label') for c in NUMERIC])}) SELECT a AS feature, correlation FROM pairs")
+def correlation_written(spark, folder):
+    """The correlation table as its sink leaves it."""
+    path = work_path(spark, "correlations")
+    sinks.write_table(profile.target_correlation(scored_customers(spark, folder), NUMERIC, "label"), path)
+    return rounded(spark.read.parquet(path))
+
+
 @query("feature_redundancy", f"""WITH {SNAP}, pairs AS ({_correlations_sql('snap', list(combinations(NUMERIC, 2)), 15)})
 SELECT a, b, round(1 - abs(correlation), 6) AS distance FROM pairs""")
 def feature_redundancy(spark, folder):

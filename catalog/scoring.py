@@ -178,6 +178,18 @@ def current_stages(spark, folder):
     return runs.current_stages(events)
 
 
+@query("current_stages_in_sequence", f"""WITH {EVENTS.replace("o_orderkey AS moment", "row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS moment")}
+SELECT name, version, CASE WHEN stage = 'Production' AND moment < taken_at THEN 'Archived' ELSE stage END AS stage
+FROM last LEFT JOIN taken USING (name)""")
+def current_stages_in_sequence(spark, folder):
+    """Many events share a day; the order key is the sequence in which they were written."""
+    events = table(spark, folder, "orders").select(
+        F.concat(F.lit("model-"), (F.col("o_custkey") % 50).cast("string")).alias("name"), (F.col("o_orderkey") % 7).alias("version"),
+        F.when(F.col("o_orderstatus") == "F", "Archived").when(F.col("o_orderstatus") == "O", "Staging").otherwise("Production").alias("stage"),
+        F.lit(True).alias("archive_existing"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("sequence"))
+    return runs.current_stages(events)
+
+
 SEGMENTS = f"""
 parts AS (SELECT ContractType || '/' || PaymentMethod AS run_name, label, prediction, probability FROM scored),
 cells AS (SELECT run_name, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,

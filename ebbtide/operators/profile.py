@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +80,48 @@ def rate_by(df: DataFrame, column: str, target: str = "Churn", positive="Yes") -
     )
 
 
+def co_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy)`` of all pairs of columns, over the rows that have both.
+
+    Values are taken from their column's minimum on. A task multiplies its blocks of rows
+    with their masks and passes one small matrix on; equal cells meet in a sum. NULL and NaN
+    are missing values.
+    """
+    least = df.agg(*[F.min(F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double"))) for c in columns]).first()
+    values = df.select(*[(_q(c).cast("double") - F.lit(float(m or 0.0))).alias(f"_{i}") for i, (c, m) in enumerate(zip(columns, least))])
+    upper = np.triu_indices(len(columns))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            there = np.isfinite(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            sums, squares = x.T @ there, (x * x).T @ there
+            total = total + np.stack([there.T @ there, sums, sums.T, squares, squares.T, x.T @ x])
+        if not np.isscalar(total):
+            cells = total[:, upper[0], upper[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(upper[0]), pa.array(upper[1]), *[pa.array(c) for c in cells]], names)
+
+    names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+    partial = values.mapInArrow(add_up, "i bigint, j bigint, " + ", ".join(f"{c} double" for c in names[2:]))
+    return partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
 def _complete_correlation(pairs: list[tuple[str, str]], df: DataFrame) -> DataFrame:
-    """Pearson correlation for column pairs in one aggregation; pairs with a NULL are left out per pair."""
-    wide = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    # A constant column has no correlation.
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      F.when(~F.isnan(F.col(f"_r{i}")), F.col(f"_r{i}")).alias("correlation"))
-             for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*cells)))
+    """Pearson correlation for column pairs from one matrix of sums; rows that lack a value are left out per pair."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    place = {c: i for i, c in enumerate(columns)}
+    wanted = df.sparkSession.createDataFrame(
+        [(a, b, min(place[a], place[b]), max(place[a], place[b])) for a, b in pairs], "a string, b string, i bigint, j bigint")
+
+    def spread(square, total):
+        found = F.col("n") * F.col(square) - F.col(total) * F.col(total)
+        # A constant column has no correlation; what is left of it here is rounding.
+        return F.when(found > 1e-12 * F.col("n") * F.col(square), found)
+
+    correlation = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread("sxx", "sx")) / F.sqrt(spread("syy", "sy"))
+    return wanted.join(co_moments(df, columns), ["i", "j"], "left").select("a", "b", correlation.alias("correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

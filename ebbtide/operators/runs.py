@@ -128,12 +128,16 @@ def current_stages(events: DataFrame) -> DataFrame:
 
     The last event of a version decides, but a version in Production is archived once a
     later event puts another version of the same model there and archives the previous one.
-    Both steps are maxima per group; no history is sorted.
+    Both steps are maxima per group; no history is sorted. Of events at one time the one
+    with the larger ``sequence`` is the later; a log without that column is in the order of
+    the names of stages there, the same in every run.
     """
-    # Of two events at the same time the one with the later name of a stage decides, in every run.
-    last = events.groupBy("name", "version").agg(F.max(F.struct("at", "stage")).alias("_last")).select("name", "version", "_last.stage", "_last.at")
+    sequence = F.col("sequence") if "sequence" in events.columns else F.lit(0)
+    moment = F.struct(F.col("at"), sequence.alias("sequence"))
+    last = events.groupBy("name", "version").agg(F.max(F.struct(moment.alias("at"), F.col("stage"))).alias("_last")).select(
+        "name", "version", "_last.stage", "_last.at")
     takeover = events.filter((F.col("stage") == "Production") & F.col("archive_existing")).groupBy("name").agg(
-        F.max("at").alias("taken_at"))
+        F.max(moment).alias("taken_at"))
     replaced = (F.col("stage") == "Production") & (F.col("at") < F.col("taken_at"))
     return last.join(takeover, "name", "left").select(
         "name", "version", F.when(F.coalesce(replaced, F.lit(False)), "Archived").otherwise(F.col("stage")).alias("stage"))

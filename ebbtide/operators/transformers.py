@@ -6,6 +6,8 @@ parameter, so stages and fitted pipelines save and load with the standard writer
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLReader, MLWritable, MLWriter
@@ -70,12 +72,15 @@ class FittedBy(_Settings, Estimator, DefaultParamsReadable, DefaultParamsWritabl
 
 
 class ColumnDropper(Stage):
-    """Drop columns; names that are not there are ignored."""
+    """Drop columns; names that are not there are ignored with a warning."""
 
     def __init__(self, columns=()):
         super().__init__(columns=list(columns))
 
     def _transform(self, df):
+        unknown = [c for c in self["columns"] if c not in df.columns]
+        if unknown:
+            warnings.warn(f"columns to drop are not there: {', '.join(unknown)}", stacklevel=2)
         return df.drop(*self["columns"])
 
 

@@ -180,3 +180,28 @@ def test_grouped_histograms_are_the_same_salted(spark, monkeypatch):
     plain = sorted(map(str, profile.histogram(df, ["x"], 7, by=("g",)).collect()))
     monkeypatch.setattr(profile, "RANGE_ROWS", 0)
     assert sorted(map(str, profile.histogram(df, ["x"], 7, by=("g",)).collect())) == plain and len(plain) == 21
+
+
+def test_correlations_of_columns_with_gaps(spark):
+    """Pairwise complete rows, a constant column, one that is constant where another has values, large offsets."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    rows = [(float(a), float(a + b), None if i % 3 else float(c), 1e9 + float(b), 7.0, 5.0 if not i % 3 else float(i), float("nan") if i % 5 == 0 else float(c), None)
+            for i, (a, b, c, _) in enumerate(x)]
+    names = ["a", "b", "gaps", "far", "same", "same_there", "nans", "none"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    data = df.toPandas().astype(float)
+    got = {(r["a"], r["b"]): r["correlation"] for r in profile.correlation_matrix(df, names).collect()}
+    assert len(got) == 64
+    for (a, b), value in got.items():
+        both = data[[a, b]].dropna()
+        constant = len(both) < 2 or both[a].nunique() < 2 or both[b].nunique() < 2
+        assert value is None if constant else value == pytest.approx(np.corrcoef(both[a], both[b])[0, 1], abs=1e-9), (a, b)
+
+
+def test_stages_by_sequence(spark):
+    from ebbtide.operators import runs
+
+    log = spark.createDataFrame([("m", 1, "Staging", False, 1, 2), ("m", 1, "Production", True, 1, 1), ("m", 2, "Production", True, 1, 3), ("m", 3, "Production", True, 1, 0)],
+                                "name string, version bigint, stage string, archive_existing boolean, at int, sequence bigint")
+    assert {r["version"]: r["stage"] for r in runs.current_stages(log).collect()} == {1: "Staging", 2: "Production", 3: "Archived"}
