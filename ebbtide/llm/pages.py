@@ -37,40 +37,82 @@ BOILERPLATE_NAMES = frozenset(
     "popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar topbar widget widgets".split()
 )
+# Words that only say where or what kind of box: a name of these and boilerplate words alone is boilerplate.
+LAYOUT_NAMES = frozenset(
+    "area bar block body bottom box center column container global inner item left line link links list main outer overlay page panel "
+    "primary right secondary section site top wrap wrapper".split()
+)
+# Elements whose class names tell about the whole page.
+WHOLE_PAGE = frozenset(("html", "body", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN_TAGS = frozenset(("article", "main"))
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noembed", "noframes"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+# A tag ends at its ">", or at the next "<" outside of quoted values if it has none; every part is read once.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>?|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']+))", re.I)
+_WORD = re.compile(r"[a-z0-9]+")
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _SELF_CLOSING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 
 
-def _names(tag: str, attributes: str) -> tuple[list[str], bool, bool]:
-    """Names that an element goes by, whether it is boilerplate, and whether it is main text."""
-    names, bad, main = [tag], tag in BOILERPLATE_TAGS, tag in MAIN_TAGS
-    for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        words = _NAME.findall(" ".join(values).lower())
-        if kind.lower() == "role":
-            bad, main = bad or bool(BOILERPLATE_ROLES.intersection(words)), main or words == ["main"]
+class Element:
+    """An open element: its own names, those that no element around it has, and what is known of the place."""
+
+    __slots__ = ("tag", "names", "fresh", "parent", "by_tag", "by_name", "main", "words", "headed")
+
+    def __init__(self, tag: str = "", attributes: str = "", parent: Element | None = None):
+        self.tag, self.parent, self.names, self.fresh = tag, parent, [], []
+        by_tag, by_name, main = tag in BOILERPLATE_TAGS, False, tag in MAIN_TAGS
+        for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+            words = "".join(values).lower().split()
+            if kind.lower() == "role":
+                by_tag, main = by_tag or bool(BOILERPLATE_ROLES.intersection(words)), main or words == ["main"]
+            elif tag not in WHOLE_PAGE:
+                by_name = by_name or any(map(_says_boilerplate, words))
+                self.names += [f".{w}" for w in words]
+        around = parent or _NOWHERE
+        # A heading in the header of the main text belongs to the text.
+        if tag in HEADINGS and around.tag == "header" and around.main and not around.by_name and not around.parent.bad:
+            self.by_tag = False
         else:
-            bad = bad or bool(BOILERPLATE_NAMES.intersection(words))
-            names += [f".{w}" for w in words]
-    return names, bad, main and not bad
+            self.by_tag = around.by_tag or by_tag
+        self.by_name = around.by_name or by_name
+        self.main = around.main or (main and not self.bad)
+        self.words, self.headed = 0, tag in HEADINGS
+
+    @property
+    def bad(self) -> bool:
+        return self.by_tag or self.by_name
+
+
+class _Nowhere:
+    tag, by_tag, by_name, main = "", False, False, False
+
+
+_NOWHERE = _Nowhere()
 
 
-def parts(html: str) -> Iterator[tuple[str, str, tuple[str, ...], bool, bool]]:
-    """``(kind, value, names, boilerplate, main)`` in page order.
+def _says_boilerplate(name: str) -> bool:
+    """Whether a name is made of words for boilerplate, with words for places at most: not "no-sidebar"."""
+    pieces = _WORD.findall(name)
+    return any(p in BOILERPLATE_NAMES for p in pieces) and all(p in BOILERPLATE_NAMES or p in LAYOUT_NAMES or p.isdigit() for p in pieces)
 
-    Kind is "text" or "tag"; a text comes with the names of the elements it stands in,
-    whether any is boilerplate, and whether it stands in main text. Comments, declarations
-    and the content of scripts and styles are left out.
+
+def parts(html: str) -> Iterator[tuple[str, str, Element]]:
+    """``(kind, value, element)`` in page order, in time that grows with the page's length.
+
+    Kind is "text" or "tag"; a text comes with the element it stands in, a tag with its own or,
+    when it closes one, with the innermost open element. Comments, declarations and the content
+    of scripts and styles are left out.
     """
-    # Of each open element: its tag, all names so far, boilerplate so far, main so far.
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+    stack = [Element()]
+    tags_open: Counter = Counter()
+    names_open: Counter = Counter()
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.match(html, at)
@@ -78,26 +120,47 @@ def parts(html: str) -> Iterator[tuple[str, str, tuple[str, ...], bool, bool]]:
         tag = m[2]
         if tag is None:
             if not m[0].startswith(("<!", "<?")):
-                yield "text", m[0], *stack[-1][1:]
+                yield "text", m[0], stack[-1]
             continue
         tag = tag.lower()
+
+        def leave() -> str:
+            gone = stack.pop()
+            tags_open[gone.tag] -= 1
+            names_open.subtract(gone.names)
+            return gone.tag
+
         if m[1]:
-            yield "tag", tag, *stack[-1][1:]
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                del stack[depth:]
+            yield "tag", tag, stack[-1]
+            if tags_open[tag]:
+                while leave() != tag:
+                    pass
             continue
-        if tag in _SELF_CLOSING and stack[-1][0] == tag:
-            stack.pop()
-        names, bad, main = _names(tag, m[3])
-        above = stack[-1]
-        here = tag, (*above[1], *names), above[2] or bad, above[3] or main
-        yield "tag", tag, *here[1:]
+        if tag in _SELF_CLOSING and stack[-1].tag == tag:
+            leave()
+        here = Element(tag, m[3], stack[-1])
+        here.fresh = list({n for n in here.names if not names_open[n]})
+        yield "tag", tag, here
         if tag in RAW:
-            close = re.compile(f"</{tag}[^>]*>", re.I).search(html, at)
+            close = _CLOSE[tag].search(html, at)
             at = close.end() if close else end
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(here)
+            tags_open[tag] += 1
+            names_open.update(here.names)
+
+
+def elements_of(rows: list[tuple[str, str, Element]]) -> list[Element]:
+    """The elements of a page, each after the one around it, with all words they hold and whether a heading is among them."""
+    found = list(dict.fromkeys(e for _, _, element in rows for e in (element.parent or element, element)))
+    for kind, value, element in rows:
+        if kind == "text":
+            element.words += len(value.split())
+    for element in reversed(found):
+        if element.parent is not None:
+            element.parent.words += element.words
+            element.parent.headed |= element.headed
+    return found
 
 
 class Weights:
@@ -108,39 +171,73 @@ class Weights:
     def __init__(self, names: dict[str, float], tags: dict[str, float]):
         self.names, self.tags = names, tags
 
-    def word(self, names: tuple[str, ...], bad: bool, main: bool, marked: bool) -> float:
-        if main:
-            return self.INNER if bad else self.WORD
-        if bad:
-            return self.AGAINST
-        if marked:
-            return self.OUTSIDE
-        # Learned names decide by the strongest evidence against.
-        against = min((self.names.get(n, 0.0) for n in names), default=0.0)
-        return max(self.AGAINST, against) if against < -1 else self.WORD
-
-    def tag(self, tag: str, marked: bool, main: bool) -> float:
+    def of_elements(self, elements: list[Element], marked: bool, wide: float) -> dict[Element, float]:
+        """What a word counts directly in each element.
+
+        Where main text is marked, the marks decide. Elsewhere the innermost element with a learned
+        name does: the strongest evidence against among its names is added to the one a word counts.
+        Names of elements with more than ``wide`` words and a heading say nothing.
+        """
+        evidence: dict[Element | None, tuple[float, bool]] = {None: (0.0, False)}
+        worth = {}
+        for e in elements:
+            learned, by_name = evidence[e.parent]
+            if e.words <= wide or not e.headed:
+                own = [self.names[n] for n in e.names if n in self.names]
+                learned = min(own) if own else learned
+                by_name = by_name or (e.by_name and not (e.parent is not None and e.parent.by_name))
+            evidence[e] = learned, by_name
+            if e.main:
+                worth[e] = self.INNER if e.bad else self.WORD
+            elif e.by_tag or by_name:
+                worth[e] = self.AGAINST
+            elif marked:
+                worth[e] = self.OUTSIDE
+            else:
+                worth[e] = max(self.AGAINST, self.WORD + min(learned, 0.0))
+        return worth
+
+    def tag(self, tag: str, main: bool) -> float:
         return -0.01 if main else self.tags.get(tag, -0.2)
 
 
-def main_text(html: str | None, weights: Weights) -> str:
-    """Text of the best region; empty without any."""
-    rows = list(parts(html or ""))
-    marked = any(r[4] for r in rows)
+def best_region(values: list[float]) -> tuple[int, int]:
+    """First and last place of the stretch with the greatest positive sum, by one scan; (0, -1) without any."""
     best, best_from, best_to, total, since = 0.0, 0, -1, 0.0, 0
-    for i, (kind, value, names, bad, main) in enumerate(rows):
-        worth = weights.tag(value, marked, main) if kind == "tag" else len(value.split()) * weights.word(names, bad, main, marked)
+    for i, worth in enumerate(values):
         if total <= 0:
             total, since = 0.0, i
         total += worth
         if total > best:
             best, best_from, best_to = total, since, i
+    return best_from, best_to
+
+
+def row_values(rows: list[tuple[str, str, Element]], worth: dict[Element, float], weights: Weights) -> list[float]:
+    return [weights.tag(value, e.main) if kind == "tag" else len(value.split()) * worth[e] for kind, value, e in rows]
+
+
+def main_text(html: str | None, weights: Weights) -> str:
+    """Text of the best region; empty without any.
+
+    If no word counts, names around more than half of all words with a heading are taken
+    for names of the page's frame, and the page is scored without them.
+    """
+    rows = list(parts(html or ""))
+    elements = elements_of(rows)
+    marked = any(e.main for e in elements)
+    words = sum(len(value.split()) for kind, value, e in rows if kind == "text" and not e.by_tag)
+    for wide in (float("inf"), words / 2):
+        worth = weights.of_elements(elements, marked, wide)
+        first, last = best_region(row_values(rows, worth, weights))
+        if last >= first:
+            break
     blocks: list[list[str]] = [[]]
-    for kind, value, names, bad, main in rows[best_from : best_to + 1]:
+    for kind, value, e in rows[first : last + 1]:
         if kind == "tag":
             if value not in INLINE:
                 blocks.append([])
-        elif not bad and (main or not marked) and weights.word(names, bad, main, marked) > 0:
+        elif worth[e] > 0:
             blocks[-1].append(value)
     return " ".join(t for b in blocks if (t := " ".join(unescape("".join(b)).split())))
 
@@ -160,15 +257,22 @@ def page_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 where: tuple[Counter, Counter] = Counter(), Counter()
                 for html in texts.to_pylist():
                     rows = list(parts(html or ""))
-                    if not any(r[4] for r in rows):
+                    elements = elements_of(rows)
+                    if not any(e.main for e in elements):
                         continue
-                    mine = set()
-                    for kind, value, names, bad, main in rows:
-                        keys = [("tag", value)] if kind == "tag" else [("word", n) for n in set(names) if n[0] == "."]
-                        size = 1 if kind == "tag" else len(value.split())
-                        for key in keys:
-                            where[main and not bad][key] += size
-                        mine.update(keys)
+                    mine = {("tag", value) for kind, value, _ in rows if kind == "tag"}
+                    inside: Counter = Counter()
+                    for kind, value, e in rows:
+                        if kind == "tag":
+                            where[e.main and not e.bad]["tag", value] += 1
+                        elif e.main and not e.bad:
+                            inside[e] += len(value.split())
+                    for e in reversed(elements):
+                        inside[e.parent] += inside[e]
+                        for n in e.fresh:
+                            where[True]["word", n] += inside[e]
+                            where[False]["word", n] += e.words - inside[e]
+                            mine.add(("word", n))
                     seen.update(mine)
                 keys = list(seen)
                 columns = [[k for k, _ in keys], [n for _, n in keys], [seen[k] for k in keys], [where[1][k] for k in keys], [where[0][k] for k in keys]]
@@ -218,7 +322,7 @@ def learned_main_texts(pages: DataFrame, html_col: str = "html", keep: tuple[str
             for start, texts in text_slices(batch.column(1)):
                 rows = [
                     (page, *key) for page, text in zip(batch.column(0).slice(start, len(texts)).to_pylist(), texts.to_pylist())
-                    for key in {k for kind, value, inside, _, _ in parts(text or "") for k in ([("tag", value)] if kind == "tag" else [("word", n) for n in inside])}
+                    for key in {k for kind, value, e in parts(text or "") for k in (*([("tag", value)] if kind == "tag" else ()), *(("word", n) for n in e.fresh))}
                 ]
                 columns = zip(*rows) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["__page__", "kind", "name"])
