@@ -41,11 +41,20 @@ SHARES = {
 }
 
 _ASCII_SPACES = " \t\n\x0b\x0c\r"
-_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]+")
+_UPPER = re.compile(r"[A-Z]+")
+# Runs of letters that may be capitals; those of most scripts are none, so each letter is asked.
+_MAYBE_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def _capitals(text: str) -> int:
+    """Letters that are capitals in their script; scripts without case have none."""
+    if text.isascii():
+        return sum(map(len, _UPPER.findall(text)))
+    return sum(sum(map(str.isupper, run)) for run in _MAYBE_UPPER.findall(text))
+
+
 def statistics(text: str | None) -> list[int]:
     """The counts of one text; a null text has none."""
     text = text or ""
@@ -70,7 +79,7 @@ def statistics(text: str | None) -> list[int]:
                     covered = i + WINDOW
     of = Counter(words)
     letters = sum(map(len, _LETTERS.findall(text)))
-    upper = sum(map(len, _UPPER.findall(text)))
+    upper = _capitals(text)
     digits = sum(map(len, _DIGITS.findall(text)))
     return [
         n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), upper, letters, digits,

@@ -1,6 +1,8 @@
 import re
+import unicodedata
 
 import numpy as np
+import pytest
 
 from ebbtide.llm import quality
 
@@ -29,6 +31,27 @@ def test_counts_against_plain_code(clashing, corpus, docs):
     assert all(list(r.stats) == quality.statistics(r.text) for r in rows)
 
 
+@pytest.mark.parametrize("text, capitals", [
+    ("привет как дела сегодня мир 你好 世界", 0), ("Привет МИР", 4), ("ł ő œ Ł Ő Œ ß ẞ", 4), ("Ελληνικά ΑΒΓ", 4), ("مرحبا بالعالم", 0),
+    ("नमस्ते दुनिया", 0), ("שלום עולם", 0), ("ABC def É é ÿ", 4), ("こんにちは カタカナ", 0), ("", 0),
+])
+def test_capitals_in_many_scripts(text, capitals):
+    got = dict(zip(quality.COUNTS, quality.statistics(text)))
+    assert got["n_upper"] == capitals == sum(unicodedata.category(c) == "Lu" for c in text)
+
+
+def test_verdict_against_the_printed_rules(spark, docs):
+    """The ordered conditional expression says what the rules say in plain code."""
+    rules = [quality.Rule((("symbols_per_word", True, 0.5), ("chars_per_word", False, 6.0))), quality.Rule((("distinct_per_word", False, 0.3),))]
+    rows = quality.with_statistics(docs, keep=["doc_id"]).select("doc_id", "stats", quality.verdict(rules).alias("kept")).collect()
+    for r in rows:
+        s = r.stats.asDict()
+        share = {n: s[a] / max(s[b], 1) for n, (a, b) in quality.SHARES.items()}
+        bad = s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]
+        bad |= any(all(share[n] >= at if above else share[n] < at for n, above, at in rule.conditions) for rule in rules)
+        assert r.kept == (not bad)
+
+
 def test_learned_rules_find_planted_thresholds():
     rng = np.random.default_rng(2)
     values = {s: rng.random(4000) for s in quality.SHARES}
