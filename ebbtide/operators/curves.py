@@ -32,7 +32,6 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "probability"
 def cumulative(df: DataFrame, label: str = "label", score: str = "probability",
                rows_per_task: int = ROWS_PER_TASK, also=()) -> DataFrame:
     """Per distinct score: true and false positives when predicting positive at or above it."""
-    # Cut points come from the rows: a range then never holds more distinct scores than rows.
     bounds = range_bounds(df.filter(_ranked(label, score)), score, rows_per_task)
     groups = score_groups(df, label, score, also)
     totals = groups.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()

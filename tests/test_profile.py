@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import scalars
 from ebbtide.operators import profile, split
+from ebbtide.operators import running
 from ebbtide.operators.running import range_bounds, running_totals
 from ebbtide.operators.statistics import quantiles
 
@@ -57,6 +58,29 @@ def test_running_totals_agree_with_and_without_ranges(numbers, descending):
     assert sorted(map(tuple, ranged.select("x", "t").collect())) == sorted(map(tuple, plain.select("x", "t").collect()))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_sums_of_ranges_by_blocks(spark, numbers, descending, monkeypatch):
+    counts = numbers.select("x", F.when(F.col("x") > 50, "a").alias("g")).groupBy("g", "x").agg(F.count("*").alias("n"))
+    bounds = range_bounds(counts, "x", 40)
+    plain = running_totals(counts, "x", {"t": "n"}, ("g",), descending)
+    monkeypatch.setattr(running, "RANGES_PER_BLOCK", 3)
+    assert len(bounds) > 6
+    blocks = running_totals(counts, "x", {"t": "n"}, ("g",), descending, bounds)
+    assert blocks.columns == plain.columns
+    assert sorted(blocks.collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+def test_cut_points_follow_distinct_values(spark):
+    """A value on a third of the rows moves no cut; every split of the table cuts alike, and no sketch is merged."""
+    values = spark.range(20_000).select((F.col("id") / 7).alias("x"))
+    hot = values.unionByName(spark.range(10_000).select(F.lit(3.0).alias("x")))
+    bounds = range_bounds(values, "x", 1_000)
+    assert bounds == range_bounds(hot.repartition(13), "x", 1_000) and 14 <= len(bounds) <= 25
+    sizes = [r["count"] for r in values.withColumn("r", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("x")))).groupBy("r").count().collect()]
+    assert len(sizes) == len(bounds) + 1 and max(sizes) < 2_500
+    assert range_bounds(values, "x", 1_000_000) == [] and range_bounds(values.limit(0), "x", 10) == []
+
+
 def test_describe_agrees_with_pandas(numbers):
     row = profile.describe(numbers, ["x"]).first()
     want = numbers.toPandas().x.describe()
