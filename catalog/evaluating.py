@@ -292,17 +292,46 @@ def production_gate(spark, folder):
         evaluation.metrics(scored_customers(spark, folder)), evaluation.GATES["production"]))
 
 
-@query("sanity_gate", f"""WITH {SNAP}, s AS (SELECT avg(probability) AS m, stddev_pop(probability) AS d FROM scored)
-SELECT 'no_nan' AS criterion, CAST(0 AS DOUBLE) AS value, true AS ok, false AS warning_only
-UNION ALL SELECT 'in_range', CAST(0 AS DOUBLE), true, false
+@query("staging_gate", f"""{CUSTOMERS}, {GATE}
+SELECT 'roc_auc' AS criterion, round(roc_auc, 6) AS value, 0.8::DOUBLE AS threshold, roc_auc >= 0.8 AS passed FROM gated
+UNION ALL SELECT 'accuracy', round(accuracy, 6), NULL, true FROM gated""")
+def staging_gate(spark, folder):
+    return rounded(evaluation.performance_gate(evaluation.metrics(scored_customers(spark, folder)), evaluation.GATES["staging"]))
+
+
+def _sane(source):
+    """CTE ``s``: what the sanity gate looks at."""
+    return f"""s AS (
+  SELECT count(*) FILTER (WHERE probability IS NULL OR isnan(probability)) AS bad,
+         count(*) FILTER (WHERE NOT isnan(probability) AND (probability < 0 OR probability > 1)) AS outside,
+         avg(probability) FILTER (WHERE NOT isnan(probability)) AS m, stddev_pop(probability) FILTER (WHERE NOT isnan(probability)) AS d
+  FROM {source})"""
+
+
+SANE = """SELECT 'no_nan' AS criterion, CAST(bad AS DOUBLE) AS value, bad = 0 AS ok, false AS warning_only FROM s
+UNION ALL SELECT 'in_range', CAST(outside AS DOUBLE), outside = 0, false FROM s
 UNION ALL SELECT 'mean', round(m, 6), m BETWEEN 0.1 AND 0.9, true FROM s
-UNION ALL SELECT 'spread', round(d, 6), d >= 0.05, true FROM s""")
+UNION ALL SELECT 'spread', round(d, 6), d >= 0.05, true FROM s"""
+
+
+@query("sanity_gate", f"WITH {SNAP}, {_sane('scored')} {SANE}")
 def sanity_gate(spark, folder):
     return rounded(evaluation.sanity_gate(scored_customers(spark, folder)))
 
 
-@query("all_gates", f"""{CUSTOMERS}, {GATE}
-SELECT true AS signature, true AS sanity, roc_auc >= 0.8 AND recall >= 0.7 AS performance, roc_auc >= 0.8 AND recall >= 0.7 AS promote FROM gated""")
+@query("sanity_gate_with_gaps", f"""WITH {LINES}, {HOLED}, shifted AS (
+  SELECT CASE WHEN label = 1 AND prediction = 1 THEN probability + 0.25 ELSE probability END AS probability FROM holed), {_sane('shifted')} {SANE}""")
+def sanity_gate_with_gaps(spark, folder):
+    """Scores missing, not numbers, and above one are counted and refused."""
+    p = F.col("probability")
+    shifted = F.when((F.col("label") == 1) & (F.col("prediction") == 1), p + 0.25).otherwise(p)
+    return rounded(evaluation.sanity_gate(_holed(spark, folder).withColumn("probability", shifted)))
+
+
+@query("all_gates", f"""{CUSTOMERS}, {GATE}, {_sane('scored')}
+SELECT signature, bad = 0 AND outside = 0 AS sanity, roc_auc >= 0.8 AND recall >= 0.7 AS performance,
+       signature AND bad = 0 AND outside = 0 AND roc_auc >= 0.8 AND recall >= 0.7 AS promote
+FROM gated, s, (SELECT count(*) = 2 AS signature FROM (DESCRIBE WITH {SNAP} SELECT * FROM scored) WHERE column_name IN ('prediction', 'probability'))""")
 def all_gates(spark, folder):
     df = scored_customers(spark, folder)
     return evaluation.all_gates(evaluation.performance_gate(evaluation.metrics(df)), evaluation.sanity_gate(df),

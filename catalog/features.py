@@ -70,6 +70,16 @@ def request_rename(spark, folder):
     return shaping.requests_to_snapshot(shaping.snapshot_to_requests(snapshot(spark, folder)))
 
 
+@query("snapshot_as_requests", f"""WITH {SNAP}
+SELECT CustomerID AS customer_id, Gender AS gender, Age AS age, Tenure AS tenure, ContractType AS contract_type,
+       InternetService AS internet_service, MonthlyCharges AS monthly_charges, TotalCharges AS total_charges, CallMinutes AS call_minutes,
+       DataUsage AS data_usage, Complaints AS complaints, RecentSupportTickets AS recent_support_tickets, PaymentMethod AS payment_method,
+       LatePayments AS late_payments, Engagement AS engagement FROM snap""")
+def snapshot_as_requests(spark, folder):
+    """The names of request fields, each with its values."""
+    return shaping.snapshot_to_requests(snapshot(spark, folder))
+
+
 @query("request_batches_exploded", f"""WITH {SNAP}
 SELECT customer_id, CAST(right(customer_id, 6) AS BIGINT) // 50 AS batch, age, contract_type, monthly_charges
 FROM (SELECT {RENAMED} FROM snap)""")
@@ -85,7 +95,9 @@ def request_batches_exploded(spark, folder):
 
 
 @query("columns_by_type", f"WITH {SNAP} SELECT CAST(sum(Age + Tenure + Complaints) AS BIGINT) AS whole_numbers, "
-       f"CAST(11 AS INTEGER) AS numeric_columns, CAST(6 AS INTEGER) AS text_columns FROM snap")
+       f"CAST(any_value(numbers) AS INTEGER) AS numeric_columns, CAST(any_value(texts) AS INTEGER) AS text_columns FROM snap, "
+       f"(SELECT count(*) FILTER (WHERE column_type <> 'VARCHAR') AS numbers, count(*) FILTER (WHERE column_type = 'VARCHAR') AS texts "
+       f"FROM (DESCRIBE WITH {SNAP} SELECT * FROM snap))")
 def columns_by_type(spark, folder):
     df = snapshot(spark, folder)
     return df.agg(F.sum(F.col("Age") + F.col("Tenure") + F.col("Complaints")).alias("whole_numbers"),
@@ -307,15 +319,26 @@ def missing_values_filled(spark, folder):
     return rounded(impute.Imputer().fit(df).transform(df))
 
 
+NARROW = ("IsHighRisk", "PaymentMethod_UPI", "ContractTenureMismatch", "Age", "Gender")
+LEAST_VARIANCES = (0.001, 0.1, 0.24)
+
+
 @query("low_variance_removed", f"""WITH {SNAP}, {engineered_sql('snap', 'snap')}
-SELECT CustomerID, IsHighRisk, "PaymentMethod_UPI" FROM feat""")
+SELECT least, "column", n FROM (""" + " UNION ALL ".join(
+    f"SELECT {t}::DOUBLE AS least, '{c}' AS \"column\", count(\"{c}\") AS n, var_pop(\"{c}\") AS spread FROM feat" for t in LEAST_VARIANCES for c in NARROW)
+    + f""" UNION ALL SELECT least, 'Constant', count(*), 0 FROM feat, (VALUES {', '.join(f"({t}::DOUBLE)" for t in LEAST_VARIANCES)}) AS t(least) GROUP BY 1)
+WHERE spread > least""")
 def low_variance_removed(spark, folder):
-    """The rare flag stays, the constant column goes."""
+    """The columns that are left at each of three limits, with their values counted."""
     df = snapshot(spark, folder)
-    out = FeatureEngineer().fit(df).transform(df).withColumn("Constant", F.lit(1.0))
-    columns = ["IsHighRisk", "PaymentMethod_UPI", "Constant"]
-    return tf.VarianceFilter(columns, 0.01).fit(out).transform(out).select(
-        "CustomerID", *[c for c in columns if c != "Constant"])
+    table = FeatureEngineer().fit(df).transform(df).withColumn("Constant", F.lit(1.0))
+    columns, out = [*NARROW, "Constant"], None
+    for least in LEAST_VARIANCES:
+        left = tf.VarianceFilter(columns, least).fit(table).transform(table)
+        cells = [F.struct(F.lit(c).alias("column"), F.count(f"`{c}`").alias("n")) for c in columns if c in left.columns]
+        one = left.agg(F.array(*cells).alias("cells")).select(F.lit(least).alias("least"), F.inline("cells"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("sampled_rows", f"WITH {SNAP} SELECT * FROM snap ORDER BY md5('42:' || CustomerID), CustomerID LIMIT 100")

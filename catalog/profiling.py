@@ -201,7 +201,8 @@ def class_balance(spark, folder):
     return rounded(parts[0].unionByName(parts[1]))
 
 
-@query("feature_table_shape", f"WITH {SNAP} SELECT count(*) AS \"rows\", 26 AS columns FROM snap")
+@query("feature_table_shape", f"WITH {SNAP} SELECT count(*) AS \"rows\", any_value(n) AS columns FROM snap, "
+       f"(SELECT CAST(count(*) AS INTEGER) AS n FROM (DESCRIBE WITH {SNAP}, {engineered_sql('snap', 'snap')} SELECT * FROM feat))")
 def feature_table_shape(spark, folder):
     df = snapshot(spark, folder)
     return profile.shape(FeatureEngineer().fit(df).transform(df))

@@ -118,6 +118,16 @@ def latest_versions(spark, folder):
     return runs.latest_per_stage(order_versions(spark, folder))
 
 
+@query("staging_versions", f"WITH {VERSIONS} SELECT name, max(version) AS version FROM versions WHERE stage = 'Staging' GROUP BY name")
+def staging_versions(spark, folder):
+    """The version in Staging of every model."""
+    versions, out = order_versions(spark, folder), None
+    for name in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        one = runs.version_in_stage(versions, f"model-{name}", "Staging").withColumn("name", F.lit(f"model-{name}"))
+        out = one if out is None else out.unionByName(one)
+    return out.filter("version is not null")
+
+
 @query("production_version", f"WITH {VERSIONS} SELECT max(version) AS version FROM versions WHERE name = 'model-2-HIGH' AND stage = 'Production'")
 def production_version(spark, folder):
     return runs.version_in_stage(order_versions(spark, folder), "model-2-HIGH", "Production")
@@ -135,26 +145,33 @@ def version_comparison(spark, folder):
 
 
 @query("version_metadata", f"""WITH {VERSIONS}
-SELECT name AS model_name, version, stage, versions.run_id, run_name, description, created AS created_timestamp, roc_auc
+SELECT name AS model_name, version, stage, versions.run_id, run_name, description, created AS created_timestamp, roc_auc, accuracy,
+       (SELECT o_orderstatus FROM orders WHERE 'run-' || CAST(o_orderkey AS VARCHAR) = versions.run_id) AS status_tag,
+       (SELECT CASE WHEN count(*) > 4 THEN 'forest' END FROM lineitem WHERE 'run-' || CAST(l_orderkey AS VARCHAR) = versions.run_id) AS model_type,
+       CASE WHEN roc_auc IS NULL THEN NULL ELSE 2 END AS n_metrics
 FROM versions LEFT JOIN runs USING (run_id) WHERE name = 'model-2-HIGH' AND version = (SELECT max(version) FROM versions WHERE name = 'model-2-HIGH')""")
 def version_metadata(spark, folder):
     versions = order_versions(spark, folder)
     newest = versions.filter("name = 'model-2-HIGH'").agg(F.max("version")).first()[0]
     record = runs.version_record(versions, order_runs(spark, folder), "model-2-HIGH", newest)
-    return record.withColumn("roc_auc", scalars.lookup(F.col("metrics"), "roc_auc")).drop("metrics", "parameters", "tags")
+    return record.withColumns({
+        "roc_auc": scalars.lookup(F.col("metrics"), "roc_auc"), "accuracy": scalars.lookup(F.col("metrics"), "accuracy"),
+        "status_tag": F.col("tags")["status"], "model_type": F.col("parameters")["model_type"],
+        "n_metrics": F.when(F.col("metrics").isNotNull(), F.size("metrics")),
+    }).drop("metrics", "parameters", "tags")
 
 
 @query("champion_tag_entries", f"""WITH {VERSIONS}, sized AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), entries AS (
-  SELECT run_id, 'data_version' AS key, 'v3.1' AS value FROM runs UNION ALL SELECT run_id, 'run_name', run_name FROM runs
-  UNION ALL SELECT run_id, 'champion', 'true' FROM runs
-  UNION ALL SELECT 'run-' || CAST(l_orderkey AS VARCHAR), 'model_type', CASE WHEN n > 4 THEN 'forest' ELSE 'XGBoost' END FROM sized
-  UNION ALL SELECT run_id, 'metrics', CAST(2 AS VARCHAR) FROM runs)
+  SELECT run_id, 'data_version' AS key, 'v3.1' AS value, CAST(NULL AS DOUBLE) AS number FROM runs
+  UNION ALL SELECT run_id, 'run_name', run_name, NULL FROM runs UNION ALL SELECT run_id, 'champion', 'true', NULL FROM runs
+  UNION ALL SELECT 'run-' || CAST(l_orderkey AS VARCHAR), 'model_type', CASE WHEN n > 4 THEN 'forest' ELSE 'XGBoost' END, NULL FROM sized
+  UNION ALL SELECT run_id, 'metric_roc_auc', NULL, roc_auc FROM runs UNION ALL SELECT run_id, 'metric_accuracy', NULL, accuracy FROM runs)
 SELECT * FROM entries""")
 def champion_tag_entries(spark, folder):
     tagged = runs.champion_tags(order_runs(spark, folder)).select("run_id", F.explode("champion_tags").alias("key", "value"))
+    # Engines write numbers as text in different ways, so metric entries are compared as numbers.
     metric = F.col("key").startswith("metric_")
-    counted = tagged.filter(metric).groupBy("run_id").agg(F.count("*").cast("string").alias("value")).withColumn("key", F.lit("metrics"))
-    return tagged.filter(~metric).unionByName(counted)
+    return tagged.select("run_id", "key", F.when(~metric, F.col("value")).alias("value"), F.when(metric, F.col("value").try_cast("double")).alias("number"))
 
 
 # Stage log: every order moves its version to a stage; the larger order key is the later event.

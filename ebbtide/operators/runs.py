@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,10 +95,51 @@ def champion_tags(runs: DataFrame, data_version: str = "v3.1") -> DataFrame:
     return runs.withColumn("champion_tags", F.map_concat(fixed, prefixed_metrics(F.col("metrics"))))
 
 
-def new_version(versions: DataFrame, name: str, run_id: str, description: str = "", tags=None) -> DataFrame:
-    """The next version of a model as a row to append; the first version of a new name is 1."""
+CLAIMS = "name string, version bigint, token string"
+
+
+def claimed_versions(spark: SparkSession, claims: str) -> DataFrame:
+    """All claims of version numbers below a folder; none if nothing was claimed there."""
+    try:
+        # One file per claim, each in a folder of its own, so that no writer cleans up after another.
+        return spark.read.schema(CLAIMS).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).json(claims)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CLAIMS)
+
+
+def claim_version(spark: SparkSession, claims: str, name: str, least: int = 1, tries: int = 50) -> int:
+    """A version number, at least ``least``, that no other writer gets, from a folder that all writers share.
+
+    A writer states its claim first and looks afterwards whether another one is there. Of
+    two writers with the same number, the one that wrote second sees the first one's claim,
+    so never both keep it. If each sees the other, both let the number go and try a higher
+    one after a random pause. Numbers may be left out, as they are if a writer is lost. The
+    folder must show a finished file to all who list it afterwards.
+    """
+    for attempt in range(tries):
+        mine = F.col("name") == name
+        highest = claimed_versions(spark, claims).filter(mine).agg(F.max("version")).first()[0]
+        number = max(least, (highest or 0) + 1)
+        token = uuid.uuid4().hex
+        spark.createDataFrame([(name, number, token)], CLAIMS).coalesce(1).write.json(f"{claims}/claim-{token}")
+        rivals = claimed_versions(spark, claims).filter(mine & (F.col("version") == number) & (F.col("token") != token))
+        if rivals.isEmpty():
+            return number
+        time.sleep(random.random() * 0.2 * (attempt + 1))
+    raise RuntimeError(f"no version of {name} could be claimed in {tries} tries")
+
+
+def new_version(versions: DataFrame, name: str, run_id: str, description: str = "", tags=None, claims: str | None = None) -> DataFrame:
+    """The next version of a model as a row to append; the first version of a new name is 1.
+
+    With ``claims``, a folder that all writers share, no two writers get the same number.
+    """
     spark = versions.sparkSession
     number = versions.filter(F.col("name") == name).agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
+    if claims is not None:
+        number = claim_version(spark, claims, name, number)
     row = (name, number, "None", run_id, datetime.now(timezone.utc), description, {k: str(v) for k, v in (tags or {}).items()})
     return spark.createDataFrame([row], VERSIONS)
 

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -148,7 +150,7 @@ def test_stage_log(spark):
     assert runs.stage_event(spark, "m", 1, "Production").first()["archive_existing"]
 
 
-def test_versions(spark):
+def test_versions(spark, tmp_path):
     table = runs.run_row(spark, "r", {"a": "b"}, {"model_type": "forest"}, {"roc_auc": 0.8}, with_time=False)
     run_id = table.first()["run_id"]
     versions = spark.createDataFrame(
@@ -163,6 +165,11 @@ def test_versions(spark):
     assert {r["version"]: (r["tags"], r["description"]) for r in runs.add_tags(tagged, "m", 2, {"a": 3}).collect()} == {
         1: ({}, None), 2: ({"a": "3", "b": "2"}, "new")}
     assert runs.new_version(versions, "m", run_id).first()["version"] == 3
+    claims = str(tmp_path / "claims")
+    with ThreadPoolExecutor(4) as writers:
+        numbers = list(writers.map(lambda _: runs.new_version(versions, "m", run_id, claims=claims).first()["version"], range(8)))
+    assert len(set(numbers)) == 8 and min(numbers) >= 3
+    assert runs.new_version(versions, "other", run_id, claims=claims).first()["version"] == 1
     assert runs.new_version(versions, "fresh", run_id, "d", {"k": 1}).first()["tags"] == {"k": "1"}
     tags = runs.champion_tags(table).first()["champion_tags"]
     assert tags["metric_roc_auc"] == "0.8" and tags["model_type"] == "forest" and tags["champion"] == "true"
