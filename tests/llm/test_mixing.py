@@ -27,16 +27,20 @@ def plain_targets(sizes, weights=(5, 2, 1), share=1.5, epochs=2.0):
 
 
 def plain_mix(rows):
-    sized = [(i, s, hashlib.md5("|".join(x for x in (None if i is None else str(i), t) if x is not None).encode()).hexdigest(), len(WORD.findall(t or ""))) for i, t, s in rows]
+    sized, seen = [], {}
+    for i, t, s in rows:
+        key = hashlib.md5("|".join(x for x in (None if i is None else str(i), t) if x is not None).encode()).hexdigest()
+        copy = seen[i, t, s] = seen.get((i, t, s), -1) + 1
+        sized.append((i, s, key, len(WORD.findall(t or "")), hashlib.md5(f"{key}#{copy}".encode()).hexdigest() if copy else key))
     sizes = {}
-    for _, s, _, n in sized:
+    for _, s, _, n, _ in sized:
         sizes[s] = sizes.get(s, 0) + n
     targets, out = plain_targets(sizes), []
     for s in sizes:
         budget = math.floor(targets[s] + 0.5)
         whole = budget // sizes[s] if sizes[s] else 0
         left = budget - whole * sizes[s]
-        for i, _, key, n in sorted((r for r in sized if r[1] == s), key=lambda r: (r[2], r[0] is not None, r[0] or 0)):
+        for i, _, key, n, _ in sorted((r for r in sized if r[1] == s), key=lambda r: (r[4], r[0] is not None, r[0] or 0)):
             part = min(n, max(0, left))
             left -= part
             out.append((key, s, n, sizes[s], targets[s], whole * n + part))
@@ -74,6 +78,34 @@ def test_the_mix_itself(clashing, docs, corpus):
     assert got == {k: n for k, n in taken.items() if n}
 
 
+def test_one_row_that_very_many_repeat(spark):
+    """Copies under one id spread over the ranges, however the table is split, and are all counted."""
+    from pyspark.sql import functions as F
+
+    copies = [(5, "w " * 7, "s")] * 900 + [(i, f"one two {i}", "s") for i in range(10, 310)] + [(i, "x y z", "t") for i in range(900)]
+    df = spark.createDataFrame(copies, "doc_id bigint, text string, source string")
+    wide = mixing.mix(df.repartition(7), per_range=50)
+    rows = sorted(tuple(r) for r in wide.select("id", "source", "size", "taken").collect())
+    assert rows == sorted(tuple(r) for r in mixing.mix(df.coalesce(2), per_range=2_000).select("id", "source", "size", "taken").collect())
+    want = plain_mix(copies)
+    assert sorted((s, n, t) for _, s, n, _, _, t in want) == sorted((s, n, t) for _, s, n, t in rows)
+    numbered = mixing._numbered(df.select(F.col("doc_id").cast("string").alias("ident"), F.lit("k").alias("key"), F.spark_partition_id().alias("place")))
+    assert sorted(r["copy"] for r in numbered.where("ident = '5'").collect())[:900:899] == [0, 899]
+    assert numbered.where("ident = '5'").select("copy").distinct().count() == 901
+
+
+def test_rows_alike_but_for_nulls_and_sources_are_kept_apart(spark):
+    rows = [(5, "x a b", "s1"), (None, "5|x a b", "s1"), (5, "x a b", "s2"), (None, "x a b", None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, source string, __size bigint")
+    taken = {}
+    for r in mixing.mixed_documents(df.drop("__size")).collect():
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + len(WORD.findall(r.text))
+    want = {}
+    for r in mixing.mix(df).collect():
+        want[r.id, r.source] = want.get((r.id, r.source), 0) + r.taken
+    assert taken == {k: n for k, n in want.items() if n}
+
+
 def test_targets_of_small_and_empty_sources(spark):
     sizes = {"a": 10, "b": 0, "é": 1000, "z": 50, None: 7}
     df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size bigint, docs bigint")
