@@ -13,6 +13,10 @@ import numpy as np
 
 HEADER = struct.Struct("<QQQQQ")
 SAMPLE = 64
+#: Low bits are read from eight bytes at any bit, so a number has at most this many.
+LOW_BITS = 56
+#: Numbers whose low bits are spread out at a time, a multiple of eight.
+CHUNK = 1 << 13
 
 # Place of the k-th set bit in each byte.
 _IN_BYTE = np.zeros((256, 8), np.int64)
@@ -24,10 +28,11 @@ for _byte in range(256):
 def pack(values: np.ndarray) -> bytes:
     """Encode numbers that never fall, the last being the largest."""
     n, universe = len(values), int(values[-1]) if len(values) else 0
-    low_bits = max(0, (universe // n).bit_length() - 1) if n else 0
+    low_bits = min(LOW_BITS, max(0, (universe // n).bit_length() - 1)) if n else 0
     values = values.astype(np.uint64)
-    low = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-    low_bytes = np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    places = np.arange(low_bits, dtype=np.uint64)
+    low = (((values[a : a + CHUNK, None] >> places) & np.uint64(1)).astype(np.uint8).ravel() for a in range(0, n, CHUNK))
+    low_bytes = b"".join(np.packbits(bits, bitorder="little").tobytes() for bits in low)
     places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
     steps = np.zeros((int(places[-1]) // 64 + 1) * 64 if n else 0, np.uint8)
     steps[places] = 1

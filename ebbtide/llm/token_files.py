@@ -1,10 +1,11 @@
 """Token ids in binary files with Elias-Fano document boundaries (operator 7).
 
-A file is a row of blocks, each ended by a line feed. A block holds, in this order: a
-header (``BLOCK``), the document ids, a bit per document that says whether its id is null,
-the boundaries as an Elias-Fano sequence of ``documents + 1`` numbers, and all ids in a row,
-two bytes each where the vocabulary allows it and four otherwise, little-endian. Blocks are
-numbered; their order is that of the documents.
+A file is a row of blocks, each ended by a line feed; a folder has as many files as its
+blocks need. A block holds, in this order: a header (``BLOCK``), the document ids that are
+not null as an Elias-Fano sequence of their distances from the first, the boundaries as one
+of ``documents + 1`` numbers, and all token ids in a row, two bytes each where the
+vocabulary allows it and four otherwise, little-endian. Documents rise by id within a
+block, those without id first. Blocks are numbered; their order is that of the documents.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from ebbtide.session import work_path
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-MAGIC = b"TOKENIDS"
-#: Magic, number of the block, documents, ids, bytes per id, bytes of the boundaries.
-BLOCK = struct.Struct("<8sQQQQQ")
+MAGIC = b"TOKENID2"
+#: Magic, number of the block, documents, those without id, the first id, token ids, bytes per token id, bytes of the document ids, of the boundaries.
+BLOCK = struct.Struct("<8sQQQqQQQQ")
 #: Ids from which a block is closed; a block ends with a whole document.
 BLOCK_IDS = 1 << 22
+#: Blocks of a file, some 128 MB: a reader's task holds a file at a time.
+FILE_BLOCKS = 16
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,20 +49,24 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray,
 
 
 def block_bytes(number: int, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    missing = np.asarray(doc_ids.is_null().to_numpy(zero_copy_only=False), bool)
-    named = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+    named = doc_ids.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = int(named[0]) if len(named) else 0
+    # Distances of ids far apart do not fit a signed number, but they do an unsigned one.
+    names = pack(named.view(np.uint64) - np.uint64(first & (1 << 64) - 1))
     bounds = pack(np.concatenate([[0], np.cumsum(counts)]))
-    head = BLOCK.pack(MAGIC, number, len(counts), len(ids), ids.dtype.itemsize, len(bounds))
-    return b"".join([head, named.tobytes(), np.packbits(missing).tobytes(), bounds, ids.astype(ids.dtype.newbyteorder("<")).tobytes()])
+    head = BLOCK.pack(MAGIC, number, len(counts), len(counts) - len(named), first, len(ids), ids.dtype.itemsize, len(names), len(bounds))
+    return b"".join([head, names, bounds, ids.astype(ids.dtype.newbyteorder("<")).tobytes()])
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS
+    docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS,
+    file_blocks: int = FILE_BLOCKS,
 ) -> None:
     """Encode every text of ``docs``, append the end id, and write the ids in ascending id order.
 
     One shuffle brings the texts into ranges of ids; each task encodes its range and writes
-    one file of blocks. Ids must be whole numbers; null ids come first, equal ids in order
+    files of at most ``file_blocks`` blocks, so files stay small however large a range is;
+    only a single document of that size makes a larger one. Ids must be whole numbers; null ids come first, equal ids in order
     of their texts. A null text is empty and has the end id alone. Tasks that run again write
     their file anew. An empty table gives a folder without blocks. Extra columns are left out.
     """
@@ -88,36 +95,35 @@ def write_token_files(
     source = narrowed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint"))
     blocks = source.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, "block binary")
     # The text writer puts a string's bytes into the file as they are.
-    blocks.select(F.col("block").cast("string")).write.option("lineSep", "\n").text(path)
+    blocks.select(F.col("block").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_blocks).text(path)
 
 
-def read_blocks(data: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, EliasFano, np.ndarray]]:
-    """Number, document ids, which of them are null, boundaries and ids of each block of a file."""
+def read_blocks(data: memoryview) -> Iterator[tuple[int, pa.Array, EliasFano, np.ndarray]]:
+    """Number, document ids, boundaries and token ids of each block of a file, which is not copied."""
     at = 0
     while at < len(data):
-        magic, number, docs, ids, width, size = BLOCK.unpack_from(data, at)
+        magic, number, docs, missing, first, ids, width, named, size = BLOCK.unpack_from(data, at)
         if magic != MAGIC:
             raise ValueError("not a file of token ids")
         at += BLOCK.size
-        names = np.frombuffer(data, "<i8", docs, at)
-        at += 8 * docs
-        missing = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs).astype(bool)
-        at += -(-docs // 8)
-        bounds = EliasFano(memoryview(data)[at : at + size])
+        distances = EliasFano(data[at : at + named]).select(np.arange(docs - missing))
+        names = np.concatenate([np.zeros(missing, np.int64), (distances.view(np.uint64) + np.uint64(first & (1 << 64) - 1)).view(np.int64)])
+        at += named
+        bounds = EliasFano(data[at : at + size])
         at += size
-        yield number, names, missing, bounds, np.frombuffer(data, f"<u{width}", ids, at)
+        yield number, pa.array(names, mask=np.arange(docs) < missing), bounds, np.frombuffer(data, f"<u{width}", ids, at)
         at += width * ids + 1
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
-            for number, names, missing, bounds, ids in read_blocks(data.as_buffer().to_pybytes()):
+            for number, names, bounds, ids in read_blocks(memoryview(data.as_buffer())):
                 at = bounds.select(np.arange(len(names) + 1))
                 wide = memoryview(ids.astype("<u4")).cast("B")
                 sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(at.tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(names), number)), pa.array(names, mask=missing), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())],
+                    [pa.array(np.full(len(names), number)), names, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())],
                     ["block", "id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,7 +61,7 @@ def test_forgotten_words_are_asked_for_again(spark, tokenizer, monkeypatch):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=300))
+@given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=300) | st.lists(st.integers(0, (1 << 63) - 1), min_size=1, max_size=20))
 def test_elias_fano_selects_every_number(values):
     values = np.sort(np.array(values, np.int64))
     data = elias_fano.pack(values)
@@ -96,6 +97,30 @@ def test_files_round_trip(spark, clashing, corpus, tokenizer, tmp_path):
         assert got_files(token_files.read_token_files(spark, path)) == expected_files([(r[0], r[1]) for r in corpus], tokenizer)
 
 
+def test_files_of_a_range_are_many_and_small(spark, tokenizer, tmp_path):
+    """Ids from end to end of the whole numbers, repeated and missing, in more files than ranges."""
+    rows = [(i * 97 - 500, f"text number {i} " * (i % 5)) for i in range(300)]
+    rows += [(-(1 << 63), "the least"), ((1 << 63) - 1, "the greatest"), (7, "b"), (7, "b"), (7, "a"), (None, "none"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    path = str(tmp_path / "many")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, 5)
+    try:
+        token_files.write_token_files(df, path, PATH, block_ids=40, file_blocks=3)
+    finally:
+        spark.conf.unset(setting)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    blocks = [len(list(token_files.read_blocks(memoryview(bytes(f[0]))))) for f in files]
+    assert max(blocks) == 3 and len(blocks) > 8
+    assert got_files(token_files.read_token_files(spark, path)) == expected_files(rows, tokenizer)
+
+
+def test_document_ids_take_little_space():
+    counts = np.full(50_000, 3)
+    data = token_files.block_bytes(0, pa.array(np.arange(50_000) * 5 + 10**12), counts, np.zeros(150_000, np.uint16))
+    assert len(data) - 300_000 < 50_000 * (5 + 5) / 8
+
+
 def test_files_of_an_empty_table(spark, nothing, tmp_path):
     token_files.write_token_files(nothing, str(tmp_path / "none"), PATH)
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
