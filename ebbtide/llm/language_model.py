@@ -6,9 +6,11 @@ its smoothed share of the class's tokens. Class scores are sums of one product p
 context word, so the normaliser of every pair of context classes is one product of two
 matrices, and every token's log probability is exactly normalised.
 
-Counts cover all training tokens: tasks count their own, the shuffle adds up. Tasks train
-copies of the model on their documents; the copies are averaged, round by round. Words
-outside a dictionary of bounded size get their counts by a join.
+Counts cover all training tokens: tasks count their own, the shuffle adds up. Documents are
+dealt into shards by a hash of id and text, as many as the number of tokens asks for; a
+copy of the model is trained on each, and the copies are averaged, round by round. So the
+model follows from the rows alone, not from how files or cores split them. Words outside a
+dictionary of bounded size get their counts by a join.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ DICTIONARY = 1 << 17
 WIDTH = 24
 #: Noise words per batch, tokens per batch, step size, rounds of training and averaging.
 NOISE, BATCH, STEP, ROUNDS = 40, 4096, 0.08, 2
+#: Training tokens of a copy in a round.
+COPY_TOKENS = 1 << 22
 #: Words a task counts before it hands them on.
 AT_ONCE = 1 << 20
 SEED = 20
@@ -224,25 +228,28 @@ def trained(model: Model, noise: np.ndarray, batches: Iterator[tuple[np.ndarray,
     return Model(r, c, b), seen
 
 
-def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Average of the copies that the tasks train, weighted by their tokens, in each round.
+def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, copy_tokens: int = COPY_TOKENS) -> Model:
+    """Average of the copies that the shards train, weighted by their tokens, in each round.
 
-    Every training document is used in one round, by its id; documents without id in the
-    first. What a task sends is the size of the model, added up in two steps.
+    Every training document is used in one round and one shard, by a hash of its id and
+    text, and stands in its shard in the order of that hash. Documents without id are dealt
+    by their text. What a shard sends is the size of the model, added up in two steps, each
+    in the order of the shards.
     """
+    shards = max(1, -(-int(voc.total) // (rounds * copy_tokens)))
     model, noise = Model.start(voc.tokens), (voc.tokens + SMOOTH) / (voc.tokens.sum() + SMOOTH * len(voc.tokens))
-    training = docs.where(~held_out_column()).withColumn("turn", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(rounds)), F.lit(0)).cast("int"))
+    training = docs.where(~held_out_column()).withColumn("deal", F.xxhash64("id", "text")).withColumn("turn", F.pmod("deal", F.lit(rounds)))
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((model, voc))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             start, voc = sent.value
             rows = (sequences(voc, t)[:3] for batch in batches for _, t in text_slices(batch.column(0)))
-            part = TaskContext.get().partitionId()
-            new, seen = trained(start, noise, rows, SEED + 1000 * part + turn)
+            shard = TaskContext.get().partitionId()
+            new, seen = trained(start, noise, rows, SEED + 1000 * shard + turn)
             if seen:
                 data = (new.flat().astype(np.float64) * seen).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part % 32], pa.int64()), pa.array([seen], pa.int64()), pa.array([data], pa.binary())], ["part", "seen", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([data], pa.binary())], ["shard", "seen", "data"])
 
         def added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, seen = None, 0
@@ -251,12 +258,15 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
                     one = np.frombuffer(data.as_buffer(), np.float64)
                     total, seen = (one.copy() if total is None else total + one), seen + n
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "seen", "data"])
-
-        kind = "part bigint, seen bigint, data binary"
-        copies = training.where(F.col("turn") == turn).select("text").mapInArrow(run, kind)
-        # Each of 32 tasks adds up its share of the copies as they arrive; their sums meet here.
-        sums = copies.repartition(32, "part").mapInArrow(added, kind).collect()
+                part = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["shard", "seen", "data"])
+
+        kind = "shard bigint, seen bigint, data binary"
+        dealt = training.where(F.col("turn") == turn).select("deal", "text").repartitionById(shards, F.pmod(F.shiftright("deal", 8), F.lit(shards)).cast("int"))
+        copies = dealt.sortWithinPartitions("deal", "text").select("text").mapInArrow(run, kind)
+        # Each of 32 tasks adds up its share of the copies in the order of the shards; their sums meet here.
+        parts = copies.repartitionById(32, (F.col("shard") % 32).cast("int")).sortWithinPartitions("shard")
+        sums = sorted(parts.mapInArrow(added, kind).collect(), key=lambda r: r["shard"])
         seen = sum(r["seen"] for r in sums)
         if seen:
             total = sum((np.frombuffer(r["data"], np.float64) for r in sums), np.zeros(model.flat().size))

@@ -48,6 +48,45 @@ def test_query(spark, big):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.1 * sum(r.n_tokens for r in out)
 
 
+def test_the_model_follows_from_the_rows_alone(spark, clashing, monkeypatch):
+    """Other splits of the same rows give the same scores; several shards and empty ones among them."""
+    monkeypatch.setattr(lm.train, "__defaults__", (lm.ROUNDS, 3_000))
+    key = lambda r: (str(r[0]), r.n_tokens, r.base_score)
+    one, two = (sorted(lm.scored(df).collect(), key=key) for df in (clashing.coalesce(1), clashing.repartition(11)))
+    assert [tuple(r)[:5] for r in one] == [tuple(r)[:5] for r in two]
+    assert [r.score for r in one] == pytest.approx([r.score for r in two], rel=1e-9)
+
+
+def test_scores_against_plain_code(docs, corpus, monkeypatch):
+    """Every text scored again from the model's arrays, a word at a time."""
+    source = docs.selectExpr("doc_id AS id", "text")
+    kept = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.append((a[1], train(*a))) or kept[-1][1])
+    rows = lm.scored(docs).collect()
+    voc, model = kept[0]
+    counts = Counter(t for i, text in [(r[0], r[1]) for r in corpus] if not held(i) for t in tokens(text))
+    normal = {}
+
+    def plain(text):
+        total, one, two = 0.0, lm.END, lm.END
+        for t in tokens(text):
+            now = lm.END if t is None else voc.classes.get(t, voc.first_spelling + lm.spelling(t))
+            if (one, two) not in normal:
+                normal[one, two] = math.log(np.exp((model.r @ (model.c[0][one] + model.c[1][two])).astype(np.float64) + model.b).sum())
+            total += (float(model.r[now] @ (model.c[0][one] + model.c[1][two])) + float(model.b[now]) - normal[one, two]) / math.log(10)
+            if now >= voc.first_spelling:
+                total += math.log10((counts[t] + lm.SMOOTH) / (voc.tokens[now] + lm.SMOOTH * (voc.kinds[now] + 1)))
+            one, two = now, one
+        return total
+
+    texts = {r["id"]: r["text"] for r in source.collect() if r["id"] is not None and r["id"] > 0}
+    checked = [r for r in rows if r["id"] in texts and r["n_tokens"] < 200]
+    assert len(checked) > 80
+    for r in checked:
+        assert r["score"] == pytest.approx(plain(texts[r["id"]]), rel=1e-4, abs=1e-3)
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(30)]
