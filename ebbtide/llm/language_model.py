@@ -40,7 +40,7 @@ WIDTH = 24
 #: Noise words per batch, tokens per batch, step size, rounds of training and averaging.
 NOISE, BATCH, STEP, ROUNDS = 40, 4096, 0.08, 2
 #: Training tokens of a copy in a round.
-COPY_TOKENS = 1 << 22
+COPY_TOKENS = 1 << 21
 #: Words a task counts before it hands them on.
 AT_ONCE = 1 << 20
 SEED = 20
