@@ -48,6 +48,33 @@ def test_the_same_trees_from_one_block_and_from_many(table, alone):
         assert all(same(a, b) for a, b in zip(one, other))
 
 
+@pytest.mark.parametrize("small", [40, 400])
+def test_small_nodes_are_grown_by_tasks(table, alone, small, monkeypatch):
+    """Forests in step down to small nodes, whose rows go to one task each; cells are added up by tasks."""
+    monkeypatch.setattr(trees, "GATHERED", 20_000 if small == 400 else trees.GATHERED)
+    monkeypatch.setattr(trees, "WAVE", 4)
+    grown = trees.fit_trees(table, FEATURES, SPECS, 5, "fold", small)
+    for one, other in zip(alone, grown):
+        assert len(one) == len(other) and all(same(a, b) for a, b in zip(one, other))
+
+
+@pytest.mark.parametrize("spec", [SPECS[2], SPECS[3], {"forest": True, "per_node": 3, "min_split": 5, "min_rows": 4, "seed": 7, "colsample": 0.8}])
+def test_whole_levels_give_the_trees_of_single_nodes(spec):
+    x, y = rows_of(5, 700)
+    cuts = [(np.unique(c)[:-1] + np.unique(c)[1:])[:: 1 + len(np.unique(c)) // 255] / 2 for c in x.T]
+    bins = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], axis=1).astype(np.uint8)
+    spec, done = {**trees.DEFAULTS, **spec}, []
+    block = trees.Block(bins, y.astype(np.int8), np.arange(700) * 7919, (np.arange(700) % 3).astype(np.int8))
+    fit = trees.boost(spec, 0, np.array([len(c) + 1 for c in cuts]), cuts, 1, done, range(2, 3))
+    request = next(fit)
+    while request is not None:
+        try:
+            request = fit.send(block.sums(spec, request, done))
+        except StopIteration:
+            request = None
+    assert same(done[0], trees.grow_alone(spec, 2, cuts, bins, block.label, block.draws(spec, 2))) and len(done[0].left) > 9
+
+
 def plain_boosted(x, y, spec, cuts):
     """Best leaf first, every split tried on the rows themselves."""
     margin, out = np.zeros(len(y)), []
