@@ -13,8 +13,13 @@ from ebbtide.sources.snapshot import snapshot
 
 
 def complete_customers(spark, folder):
-    """All customers; those without any order get the training customers' median price, as models take no missing values."""
-    rows = split.stratified_split(snapshot(spark, folder), ID, "Churn")
+    """All customers; those without any order get the training customers' median price, as models take no missing values.
+
+    The snapshot is computed once and written; the passes of the split, the fills and what follows read that table.
+    """
+    found, path = snapshot(spark, folder), work_path(spark, "customers")
+    found.write.parquet(path)
+    rows = split.stratified_split(spark.read.schema(found.schema).parquet(path), ID, "Churn")
     fills = Imputer(create_indicators=False).fit(split.train_test(rows)[0])
     return fills.transform(rows.drop("split"))
 

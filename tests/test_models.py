@@ -173,3 +173,11 @@ def test_versions(spark, tmp_path):
     assert runs.new_version(versions, "fresh", run_id, "d", {"k": 1}).first()["tags"] == {"k": "1"}
     tags = runs.champion_tags(table).first()["champion_tags"]
     assert tags["metric_roc_auc"] == "0.8" and tags["model_type"] == "forest" and tags["champion"] == "true"
+
+
+def test_customers_are_computed_once(spark, folder):
+    """What the models train on is read from the written snapshot, not joined from orders and events again."""
+    from catalog.models import complete_customers
+
+    rows = complete_customers(spark, folder)
+    assert rows.count() > 0 and not [f for f in rows.inputFiles() if f.endswith(("orders.parquet", "events.parquet"))]
