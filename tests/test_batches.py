@@ -58,3 +58,11 @@ def test_restart_keeps_what_has_come(stream):
     stream.run()
     stream.put(("a", 0, 2, "10:11", {}))
     assert stream.run() == ([("a", 2, 0, True, None)], ["a-0", "a-1"], [])
+
+
+def test_records_travel_as_one_text(stream):
+    """Texts with tabs, quotes and breaks come out of the state as they went in; the state function converts one column a record."""
+    odd = {"customer_id": "a\tb\"c\n d", "gender": "Unknown"}
+    stream.put(("odd", 0, 1, "10:00", odd), ("none", None, 1, "10:00", {}))
+    verdicts, _, errors = stream.run()
+    assert verdicts == [("none", 1, None, False, "misnumbered"), ("odd", 1, 1, False, "invalid")] and errors == [("a\tb\"c\n d", "gender")]
