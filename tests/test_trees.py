@@ -146,6 +146,17 @@ def test_packed_trees_come_back(alone):
     assert all(same(a, b) for fit in alone for a, b in zip(fit, trees.unpack_trees(trees.pack_trees(fit))))
 
 
+def test_trees_saved_by_earlier_versions_come_back(alone):
+    import base64
+    import io
+
+    data, fit = io.BytesIO(), list(alone[2])
+    np.savez_compressed(data, sizes=np.array([len(t.left) for t in fit]), **{n: np.concatenate([getattr(t, n) for t in fit]) for n in (
+        "feature", "bin", "threshold", "left", "right", "value", "cover", "gain")})
+    back = trees.unpack_trees(base64.b64encode(data.getvalue()).decode())
+    assert len(back) == len(fit) and all(same(a, b) for a, b in zip(fit, back))
+
+
 @pytest.mark.parametrize("kind", ["vote", "stack"])
 def test_ensembles_are_explained(table, kind):
     members = ({"kind": "logistic"}, {"kind": "forest", "n_estimators": 3, "max_depth": 4},
