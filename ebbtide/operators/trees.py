@@ -3,9 +3,11 @@
 The training rows are binned once and kept as packed blocks. A fit is a coroutine that asks
 for sums of gradient, curvature and rows by node, feature and bin, and picks the splits from
 the answers. What all running fits ask for is answered by one Spark job: each task adds up
-its own blocks in ``mapInArrow``, and the partial sums meet in a grouped sum. Folds and
-members of an ensemble therefore share one table and one job per step. Of two siblings only
-the smaller one is asked for; the other is the difference to their parent.
+its own blocks, and the partial sums meet in a grouped sum. Folds and members of an ensemble
+therefore share one table and one job per step. Steps are jobs over a kept RDD, as a fit has
+hundreds of them and planning a query takes longer than such a job. Of two siblings only the
+smaller one is asked for; the other is the difference to their parent. Features of few bins
+are counted together, by their joint bin.
 
 Trees of a forest are grown this way down to nodes of at most ``SMALL`` rows. The rows of
 such a node then go to one task, which grows what hangs below it; a task holds the rows of
@@ -31,7 +33,7 @@ from collections.abc import Generator, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import DataFrame
@@ -39,12 +41,12 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.statistics import quantiles
 from ebbtide.operators.transformers import Stage
-from ebbtide.session import work_path
+from ebbtide.session import shared_folder
 
 MAX_BINS = 256
 UNIT = 2.0**20
-#: Leaves whose children are looked at in one job, if the number of leaves is limited.
-AHEAD = 8
+#: Bins that features counted together have at most, all combinations.
+JOINT = 512
 #: Cells (node, feature, bin) that one job brings, and trees after which margins are written anew.
 CELLS, KEEP = 1 << 20, 10
 #: Trees of a forest that one task grows where all rows fit one block.
@@ -141,6 +143,19 @@ class Request:
         sizes = widths[self.features]
         self.offsets = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
         self.cells = int(sizes.sum())
+        self.widths = widths
+
+
+def joint_features(widths: np.ndarray) -> list[list[int]]:
+    """Features in groups of at most ``JOINT`` joint bins, or alone."""
+    groups: list[list[int]] = []
+    for f in np.argsort(-widths, kind="stable").tolist():
+        room = [g for g in groups if widths[g].prod() * widths[f] <= JOINT]
+        if room:
+            room[0].append(f)
+        else:
+            groups.append([f])
+    return groups
 
 
 class Block:
@@ -149,12 +164,24 @@ class Block:
     def __init__(self, bins: np.ndarray, label: np.ndarray, row: np.ndarray, fold: np.ndarray):
         self.bins, self.label, self.row, self.fold = bins, label, row, fold
         self.state: dict = {}
+        self.joint: list[tuple[list[int], np.ndarray]] = []
 
     @classmethod
     def of(cls, bins: bytes, label: bytes, row: bytes, fold: bytes) -> Block:
         label = np.frombuffer(label, np.int8)
         return cls(np.frombuffer(bins, np.uint8).reshape(len(label), -1), label, np.frombuffer(row, np.int64), np.frombuffer(fold, np.int8))
 
+    def joint_bins(self, widths: np.ndarray) -> list[tuple[list[int], np.ndarray]]:
+        """Groups of features and every row's joint bin, the last feature's bin running fastest."""
+        if not self.joint:
+            columns = np.ascontiguousarray(self.bins.T)
+            for group in joint_features(widths):
+                at = columns[group[0]].astype(np.int32)
+                for f in group[1:]:
+                    at = at * np.int32(widths[f]) + columns[f]
+                self.joint.append((group, at.astype(np.uint16)))
+        return self.joint
+
     def margins(self, fit: int, done: list[Tree], before: int = 0, known: np.ndarray | None = None) -> np.ndarray:
         """Sums of the finished trees, in their order: the first ``before`` are in ``known``, the others in ``done``."""
         counted, margin = self.state.get(fit, (-1, None))
@@ -205,10 +232,33 @@ class Block:
         at = place[node]
         rows = np.flatnonzero((at >= 0) & (drawn > 0))
         at = at[rows]
+        if spec["per_node"] is None:
+            return self._joint_sums(spec, request, rows, at, (gradient, curvature, drawn))
         cells = (request.offsets[at] + self.bins[rows[:, None], request.features[at]]).ravel()
         width = request.features.shape[1]
         return np.stack([np.bincount(cells, np.repeat(w[rows], width), request.cells) for w in (gradient, curvature, drawn)])
 
+    def _joint_sums(self, spec: dict, request: Request, rows: np.ndarray, at: np.ndarray, weights) -> np.ndarray:
+        """The sums where all nodes ask for the same features: by joint bins first, then by each feature's own."""
+        nodes, out = len(request.wanted), np.zeros((3, request.cells))
+        column = {f: j for j, f in enumerate(request.features[0].tolist())}
+        once = not spec["forest"]  # boosting draws a row once or not at all
+        taken = [w[rows] for w in (weights[:2] if once else weights)]
+        for group, bins in self.joint_bins(request.widths):
+            if not any(f in column for f in group):
+                continue
+            shape = (nodes, *request.widths[group].tolist())
+            size = int(np.prod(shape[1:]))
+            cell = at.astype(np.int64) * size + bins[rows]
+            tables = [np.bincount(cell, w, nodes * size) for w in taken] + ([np.bincount(cell, minlength=nodes * size)] if once else [])
+            for axis, f in enumerate(group, 1):
+                if f in column:
+                    place = request.offsets[:, column[f], None] + np.arange(shape[axis])
+                    others = tuple(a for a in range(1, len(shape)) if a != axis)
+                    for total, table in zip(out, tables):
+                        total[place] = table.reshape(shape).sum(axis=others)
+        return out
+
 
 def _worth(gradient, curvature, spec):
     """What a leaf takes off the loss, times two."""
@@ -482,20 +532,22 @@ def _alone(specs: list[dict], widths: np.ndarray, cuts: list[np.ndarray]):
     return run
 
 
+#: Bins, labels, row hashes and folds of a block, and the margins of the fits so far.
+PackedBlock = tuple[bytes, bytes, bytes, bytes, bytes]
 _blocks: OrderedDict[tuple, Block] = OrderedDict()
 
 
-def _remembered(run: str, row: dict) -> Block:
-    """The block of a row, with what this worker learned about it in earlier jobs of the same run; the least used go first.
+def _remembered(run: str, block: PackedBlock) -> Block:
+    """The block, with what this worker learned about it in earlier jobs of the same run; the least used go first.
 
     All of it follows from the block and the trees so far, so a worker that knows nothing gives the same sums.
     """
-    key = (run, hashlib.blake2b(row["row"], digest_size=16).digest())
-    block = _blocks.pop(key, None) or Block.of(row["bins"], row["label"], row["row"], row["fold"])
-    _blocks[key] = block
-    while len(_blocks) > 1 and sum(b.bins.nbytes + len(b.label) * (10 + 36 * len(b.state)) for b in _blocks.values()) > REMEMBERED:
+    key = (run, hashlib.blake2b(block[2], digest_size=16).digest())
+    found = _blocks.pop(key, None) or Block.of(*block[:4])
+    _blocks[key] = found
+    while len(_blocks) > 1 and sum(b.bins.nbytes + len(b.label) * (10 + 2 * len(b.joint) + 36 * len(b.state)) for b in _blocks.values()) > REMEMBERED:
         _blocks.popitem(last=False)
-    return block
+    return found
 
 
 def _pack_sums(cells: np.ndarray, sums: np.ndarray) -> bytes:
@@ -511,18 +563,17 @@ def _add_sums(total: np.ndarray, data: bytes) -> None:
 def _answers(run_id: str, specs: list[dict], asked: list[tuple[Request, list[Tree], int]], size: int):
     """Task side of a shared step: partial sums of its blocks over the cells of all requests, cut into slices of cells."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks: Iterator[PackedBlock]) -> Iterator[tuple[int, bytes]]:
         total = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                block, margins = _remembered(run_id, row), pickle.loads(row["margins"]) if row["margins"] else {}
-                sums = np.concatenate([block.sums(specs[r.fit], r, done, before, margins.get(r.fit)) for r, done, before in asked], axis=1)
-                total = sums if total is None else total + sums
+        for packed in blocks:
+            block, margins = _remembered(run_id, packed), pickle.loads(packed[4]) if packed[4] else {}
+            sums = np.concatenate([block.sums(specs[r.fit], r, done, before, margins.get(r.fit)) for r, done, before in asked], axis=1)
+            total = sums if total is None else total + sums
         if total is not None:
             cells = np.flatnonzero(total[2])
             for i in np.unique(cells // size).tolist():
                 part = cells[(cells >= i * size) & (cells < (i + 1) * size)]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_pack_sums(part - i * size, total[:, part])], pa.binary())], ["slice", "sums"])
+                yield i, _pack_sums(part - i * size, total[:, part])
 
     return run
 
@@ -530,45 +581,39 @@ def _answers(run_id: str, specs: list[dict], asked: list[tuple[Request, list[Tre
 def _added(size: int):
     """Task side: the sums of whole slices."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, data in zip(*[c.to_pylist() for c in batch.columns]):
-                _add_sums(totals.setdefault(i, np.zeros((3, size))), data)
+        for i, data in parts:
+            _add_sums(totals.setdefault(i, np.zeros((3, size))), data)
         for i, total in totals.items():
             cells = np.flatnonzero(total[2])
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_pack_sums(cells, total[:, cells])], pa.binary())], ["slice", "sums"])
+            yield i, _pack_sums(cells, total[:, cells])
 
     return run
 
 
-def _sums_over(blocks: DataFrame, parts: int, run_id: str, specs: list[dict], asked: list[tuple[Request, list[Tree], int]]) -> np.ndarray:
-    """Sums over all blocks by cell of all requests. Where many blocks hold many cells, tasks add them up by slices of cells."""
+def _sums_over(blocks: RDD, run_id: str, specs: list[dict], asked: list[tuple[Request, list[Tree], int]]) -> np.ndarray:
+    """Sums over all blocks by cell of all requests. Where many tasks hold many cells, other tasks add them up by slices of cells."""
     cells = sum(r.cells for r, _, _ in asked)
-    slices = -(-cells * parts // GATHERED)
+    slices = -(-cells * blocks.getNumPartitions() // GATHERED)
     size = -(-cells // slices)
-    partial = blocks.mapInArrow(_answers(run_id, specs, asked, size), "slice bigint, sums binary")
+    partial = blocks.mapPartitions(_answers(run_id, specs, asked, size))
     if slices > 1:
-        partial = partial.repartition(slices, "slice").mapInArrow(_added(size), "slice bigint, sums binary")
+        partial = partial.partitionBy(slices, int).mapPartitions(_added(size))
     found = np.zeros((3, slices * size))
-    for row in partial.collect():  # at most GATHERED cells, or the sums alone
-        _add_sums(found[:, row["slice"] * size : (row["slice"] + 1) * size], row["sums"])
+    for i, data in partial.collect():  # at most GATHERED cells, or the sums alone
+        _add_sums(found[:, i * size : (i + 1) * size], data)
     return found
 
 
-def _margins(specs: list[dict], done: dict[int, tuple[int, list[Tree]]]):
-    """Task side: blocks with the margins of all boosted fits so far."""
+def _with_margins(specs: list[dict], done: dict[int, tuple[int, list[Tree]]]):
+    """Task side: a block with the margins of all boosted fits so far."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                block = Block.of(row["bins"], row["label"], row["row"], row["fold"])
-                margins = pickle.loads(row["margins"]) if row["margins"] else {}
-                for fit, (before, trees) in done.items():
-                    margins[fit] = block.margins(fit, trees, before, margins.get(fit))
-                row["margins"] = pickle.dumps(margins)
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+    def run(packed: PackedBlock) -> PackedBlock:
+        block, margins = Block.of(*packed[:4]), pickle.loads(packed[4]) if packed[4] else {}
+        for fit, (before, trees) in done.items():
+            margins[fit] = block.margins(fit, trees, before, margins.get(fit))
+        return (*packed[:4], pickle.dumps(margins))
 
     return run
 
@@ -737,7 +782,7 @@ def fit_trees(df: DataFrame, features: list[str], specs: list[dict], parts: int,
     cuts = fit_cuts(df, features)
     widths = np.array([len(c) + 1 for c in cuts])
     blocks = binned(df, features, cuts, parts, fold)
-    return _fit_alone(blocks, specs, widths, cuts) if parts == 1 else _fit_in_step(blocks, parts, specs, widths, cuts, small)
+    return _fit_alone(blocks, specs, widths, cuts) if parts == 1 else _fit_in_step(blocks, specs, widths, cuts, small)
 
 
 def _fit_alone(blocks: DataFrame, specs, widths, cuts) -> list[Packed]:
@@ -754,9 +799,13 @@ def _fit_alone(blocks: DataFrame, specs, widths, cuts) -> list[Packed]:
     return [Packed(parts) for parts in out]
 
 
-def _fit_in_step(blocks: DataFrame, parts: int, specs, widths, cuts, small: int) -> list[Packed]:
-    spark, run_id = blocks.sparkSession, uuid.uuid4().hex
-    blocks = blocks.withColumn("margins", F.lit(None).cast("binary")).persist(StorageLevel.MEMORY_AND_DISK)
+def _fit_in_step(blocks: DataFrame, specs, widths, cuts, small: int) -> list[Packed]:
+    sc, run_id = blocks.sparkSession.sparkContext, uuid.uuid4().hex
+    shared_folder(blocks.sparkSession)  # margins are written there
+    if any(spec["forest"] for spec in specs):
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    # A task for each core; it holds one block at a time.
+    kept = blocks.rdd.map(lambda r: (*map(bytes, r), b"")).coalesce(max(2, sc.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
     done: list[list[Tree]] = [[] for _ in specs]
     base = [0] * len(specs)
     forests: dict[tuple[int, int], list[Tree]] = {}
@@ -765,9 +814,9 @@ def _fit_in_step(blocks: DataFrame, parts: int, specs, widths, cuts, small: int)
         if spec["forest"]:
             for number in range(spec["trees"]):
                 forests[i, number] = []
-                running.append((boost(spec, i, widths, cuts, AHEAD, forests[i, number], range(number, number + 1), small), i))
+                running.append((boost(spec, i, widths, cuts, None, forests[i, number], range(number, number + 1), small), i))
         else:
-            running.append((boost(spec, i, widths, cuts, AHEAD, done[i], range(spec["trees"])), i))
+            running.append((boost(spec, i, widths, cuts, None, done[i], range(spec["trees"])), i))
     waiting = [(fit, i, r) for fit, i in running if (r := next(fit, None)) is not None]
     while waiting:
         # Requests of one job, up to a bound of cells; the others wait for the next one.
@@ -775,7 +824,7 @@ def _fit_in_step(blocks: DataFrame, parts: int, specs, widths, cuts, small: int)
         count = max(1, int(np.searchsorted(ends, CELLS, side="right")))
         now, waiting = waiting[:count], waiting[count:]
         asked = [(r, [] if specs[i]["forest"] else done[i][base[i] :], base[i]) for _, i, r in now]
-        found = _sums_over(blocks, parts, run_id, specs, asked)
+        found = _sums_over(kept, run_id, specs, asked)
         further = []
         for (fit, i, request), end in zip(now, ends):
             try:
@@ -785,17 +834,18 @@ def _fit_in_step(blocks: DataFrame, parts: int, specs, widths, cuts, small: int)
         waiting += further
         if any(len(d) - b >= KEEP for d, b in zip(done, base)):
             new = {i: (b, d[b:]) for i, (d, b) in enumerate(zip(done, base)) if d[b:]}
-            path = work_path(spark, "margins")
-            blocks.mapInArrow(_margins(specs, new), f"{_BLOCK}, margins binary").write.parquet(path)
-            blocks.unpersist()
-            blocks = spark.read.schema(blocks.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
+            older, kept = kept, kept.map(_with_margins(specs, new)).persist(StorageLevel.MEMORY_AND_DISK)
+            kept.checkpoint()  # or every step would carry all steps before it
+            kept.count()
+            older.unpersist()
             base = [len(d) for d in done]
+    kept.unpersist()
     packed = [[t.packed() for t in trees] for trees in done]
     if forests:
         tops = [(i, number, trees[0]) for (i, number), trees in sorted(forests.items())]
         for (i, _, _), tree in zip(tops, _grown_below(blocks, specs, cuts, tops)):
             packed[i].append(tree)
-    blocks.unpersist()
+        blocks.unpersist()
     return [Packed(trees) for trees in packed]
 
 
