@@ -21,7 +21,7 @@ from ebbtide.operators import trees
 from ebbtide.operators.profile import class_balance
 from ebbtide.operators.transformers import Stage
 from ebbtide.schema import FEATURES
-from ebbtide.session import shared_folder, work_path
+from ebbtide.session import work_path
 
 SEED = 42
 WEIGHT = "_weight"
@@ -31,6 +31,8 @@ MAX_BINS = {"forest": trees.MAX_BINS, "boosted": trees.MAX_BINS}
 FOLDS = 5
 # Rows of a training partition. Sums are exact and draws go by the rows' values, so models do not depend on it.
 ROWS_PER_PARTITION = 50_000
+# Up to so many rows (about 7 MB, binned) are one block and each fit is one task: a job for every step would take longer than the step.
+ROWS_OF_ONE_BLOCK = 200_000
 
 # The hyper-parameters of the compared runs.
 PROFILES = {
@@ -174,7 +176,6 @@ class _Rows:
     """Label and features of the training rows, kept for all fits of a call; lost partitions are rebuilt from the input."""
 
     def __init__(self, df: DataFrame, features, fold=None):
-        shared_folder(df.sparkSession)  # margins of boosted trees are written there
         self.features, self.fold = list(features), fold
         self.kept = df.select("label", *[F.col(f"`{c}`") for c in features], *([fold] if fold else [])).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -196,7 +197,8 @@ class _Rows:
         grown = [i for i, (s, _, _) in enumerate(wanted) if s["kind"] != "logistic"]
         if grown:
             specs = [tasks[i].trees(wanted[i][0], len(self.features), wanted[i][2]) for i in grown]
-            parts = max(1, -(-sum(self.counts.values()) // ROWS_PER_PARTITION))
+            count = sum(self.counts.values())
+            parts = 1 if count <= ROWS_OF_ONE_BLOCK else max(-(-count // ROWS_PER_PARTITION), self.kept.sparkSession.sparkContext.defaultParallelism)
             for i, spec, members in zip(grown, specs, trees.fit_trees(self.kept, self.features, specs, parts, self.fold)):
                 names = _columns(wanted[i][1])
                 found[i] = trees.TreeScores(VECTOR, trees.pack_trees(members), spec["forest"], names["probabilityCol"], names["predictionCol"], len(self.features))
@@ -231,17 +233,21 @@ def train_many(df: DataFrame, profiles, features=FEATURES) -> list[PipelineModel
 
 def train_voting(df: DataFrame, profiles=ENSEMBLE, features=FEATURES, voting: str = "soft", threads: int = 3) -> PipelineModel:
     """Soft: mean of the base probabilities. Hard: majority of the base classes."""
-    if voting not in ("soft", "hard"):
-        raise ValueError(f"unknown voting: {voting}")
+    return train_votes(df, profiles, features, (voting,), threads)[0]
+
+
+def train_votes(df: DataFrame, profiles=ENSEMBLE, features=FEATURES, votings=("soft", "hard"), threads: int = 3) -> list[PipelineModel]:
+    """A vote of each kind over the same members, which are trained once."""
+    unknown = [v for v in votings if v not in ("soft", "hard")]
+    if unknown:
+        raise ValueError(f"unknown voting: {unknown[0]}")
     tags = [f"m{i}" for i in range(len(profiles))]
     with _Rows(df, features) as rows:
         models = rows.fit([(profile_settings(p), t, None) for p, t in zip(profiles, tags)], threads)
     vectors = [f"_p_{t}" for t in tags]
-    if voting == "soft":
-        vote = ScoreColumns(vectors, _leftovers(tags))
-    else:
-        vote = MajorityVote([f"_y_{t}" for t in tags], [VECTOR, *vectors, *[f"_r_{t}" for t in tags]])
-    return PipelineModel([_assembler(features), *models, vote])
+    kinds = {"soft": ScoreColumns(vectors, _leftovers(tags)),
+             "hard": MajorityVote([f"_y_{t}" for t in tags], [VECTOR, *vectors, *[f"_r_{t}" for t in tags]])}
+    return [PipelineModel([_assembler(features), *models, kinds[v]]) for v in votings]
 
 
 def train_stacking(df: DataFrame, key: str, profiles=ENSEMBLE, features=FEATURES, folds: int = FOLDS,

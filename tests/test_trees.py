@@ -75,6 +75,44 @@ def test_whole_levels_give_the_trees_of_single_nodes(spec):
     assert same(done[0], trees.grow_alone(spec, 2, cuts, bins, block.label, block.draws(spec, 2))) and len(done[0].left) > 9
 
 
+def test_features_counted_together_give_the_sums_of_each():
+    rng = np.random.default_rng(3)
+    widths = np.array([2, 57, 256, 2, 5, 2, 1, 256, 2])
+    bins = np.stack([rng.integers(0, w, 900) for w in widths], axis=1).astype(np.uint8)
+    groups = trees.joint_features(widths)
+    assert sorted(sum(groups, [])) == list(range(9)) and len(groups) < 5 and all(widths[g].prod() <= trees.JOINT for g in groups)
+    block = trees.Block(bins, (rng.random(900) < 0.4).astype(np.int8), np.arange(900) * 31, np.zeros(900, np.int8))
+    spec = {**trees.DEFAULTS, "subsample": 0.7}
+    request = trees.Request(0, 3, ([1], [20], [1], [2]), [2, 1], [[0, 1, 4, 7], [0, 1, 4, 7]], widths)
+    request.splits = [np.array(a, np.int32) for a in ([1, 0, 0], [20, 0, 0], [1, -1, -1], [2, -1, -1])]
+    found = block.sums(spec, request, [])
+    weights = block.gradients(spec, 3, lambda: np.zeros(900))
+    for i, here in enumerate((bins[:, 1] > 20, bins[:, 1] <= 20)):
+        for j, f in enumerate((0, 1, 4, 7)):
+            for total, w in zip(found, weights):
+                at = request.offsets[i, j]
+                assert np.array_equal(total[at : at + widths[f]], np.bincount(bins[here, f], w[here], widths[f]))
+
+
+def test_rows_of_one_block_need_no_steps(spark, monkeypatch):
+    """72,000 rows, the training rows of 0.1 GB, are one block: hundreds of jobs would take longer than the fit."""
+    def refused(*_):
+        raise AssertionError("a job for every step")
+
+    monkeypatch.setattr(trees, "_fit_in_step", refused)
+    df = spark.range(72_000).select((F.col("id") % 7).alias("x0"), (F.col("id") % 2).alias("x1"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    models = training.train_many(df, [{"kind": "boosted", "n_estimators": 2, "num_leaves": 4}], ["x0", "x1"])
+    assert len(training.classifier_of(models[0]).members()) == 2
+
+
+def test_votes_share_their_members(table, monkeypatch):
+    fitted, fit = [], training._Rows.fit
+    monkeypatch.setattr(training._Rows, "fit", lambda self, wanted, threads=3: fitted.append(len(wanted)) or fit(self, wanted, threads))
+    members = ({"kind": "forest", "n_estimators": 2, "max_depth": 2}, {"kind": "boosted", "n_estimators": 2, "max_depth": 2})
+    soft, hard = training.train_votes(table, members, FEATURES)
+    assert fitted == [2] and "probability" in soft.transform(table).columns and "probability" not in hard.transform(table).columns
+
+
 def plain_boosted(x, y, spec, cuts):
     """Best leaf first, every split tried on the rows themselves."""
     margin, out = np.zeros(len(y)), []
