@@ -195,6 +195,20 @@ def test_trees_saved_by_earlier_versions_come_back(alone):
     assert len(back) == len(fit) and all(same(a, b) for a, b in zip(fit, back))
 
 
+def test_credits_by_pattern_are_those_of_the_rows(alone, monkeypatch):
+    """Leaves of few features are credited by 2**features patterns, and not for every row anew."""
+    x, _ = rows_of(9, 800)
+    x[::50, 1] = np.nan
+    for tree in [*alone[0][:3], *alone[3]]:
+        tables, sizes, credit = explain.leaf_tables(tree), [], explain._credit
+        with monkeypatch.context() as m:
+            m.setattr(explain, "_credit", lambda inside, *rest: sizes.append(inside.shape) or credit(inside, *rest))
+            looked_up = explain.shapley_batch(x, tables)
+            assert all(patterns == 1 << width for _, patterns, width in sizes)
+            m.setattr(explain, "PATTERN_WIDTH", 0)
+            assert explain.shapley_batch(x, tables) == pytest.approx(looked_up, abs=1e-12)
+
+
 @pytest.mark.parametrize("kind", ["vote", "stack"])
 def test_ensembles_are_explained(table, kind):
     members = ({"kind": "logistic"}, {"kind": "forest", "n_estimators": 3, "max_depth": 4},
