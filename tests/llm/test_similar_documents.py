@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 import corpus_pipeline
 from ebbtide.llm import near_duplicates as nd
 from ebbtide.llm import similar_documents as sd
@@ -59,6 +61,22 @@ def test_against_all_pairs(clashing, corpus):
     assert kept[0].asDict().keys() == clashing.first().asDict().keys()
 
 
+def test_no_pair_at_the_limit_is_lost(spark):
+    """Pairs at similarity 0.8 that agree in no run of six places, which is one in 1,500."""
+    rng, rows = random.Random(14), []
+    while len(rows) < 6:
+        words = [f"w{rng.randrange(1 << 40)}" for _ in range(184)]
+        other = list(words)
+        for at in (20, 60, 100, 140):
+            other[at + rng.randrange(20)] = f"new{rng.randrange(1 << 40)}"
+        pair = [" ".join(words), " ".join(other)]
+        a, b = (np.frombuffer(sd.places(sd.shingles(t.encode())), np.uint8) for t in pair)
+        if not (a == b).reshape(24, 6).all(axis=1).any():
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    got = sd.one_per_similar_group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == plain_groups(rows) == [0, 2, 4]
+
+
 def test_whole_table(spark, big):
     df = spark.read.parquet(f"{big}/documents.parquet")
     assert sorted(r.doc_id for r in sd.one_per_similar_group(df).collect()) == plain_groups([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
