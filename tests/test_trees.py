@@ -75,6 +75,21 @@ def test_whole_levels_give_the_trees_of_single_nodes(spec):
     assert same(done[0], trees.grow_alone(spec, 2, cuts, bins, block.label, block.draws(spec, 2))) and len(done[0].left) > 9
 
 
+def test_one_task_may_hold_its_rows_in_pieces(table, alone, monkeypatch):
+    """Rows beyond one block, as the training rows of 1 GB, still need no job for every step."""
+    for one, other in zip(alone, trees.fit_trees(table, FEATURES, SPECS, 1, "fold", pieces=7)):
+        assert len(one) == len(other) and all(same(a, b) for a, b in zip(one, other))
+
+    def refused(*_):
+        raise AssertionError("a job for every step")
+
+    monkeypatch.setattr(trees, "_fit_in_step", refused)
+    df = table.sparkSession.range(250_000).select((F.col("id") % 7).alias("x0"), (F.col("id") % 2).alias("x1"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    models = training.train_many(df, [{"kind": "boosted", "n_estimators": 2, "num_leaves": 4}, {"kind": "forest", "n_estimators": 11, "max_depth": 2}], ["x0", "x1"])
+    assert [len(training.classifier_of(m).members()) for m in models] == [2, 11]
+    assert {float(t.cover[0]) for t in training.classifier_of(models[0]).members()} == {250_000.0}
+
+
 def test_features_counted_together_give_the_sums_of_each():
     rng = np.random.default_rng(3)
     widths = np.array([2, 57, 256, 2, 5, 2, 1, 256, 2])
