@@ -224,6 +224,45 @@ def test_credits_by_pattern_are_those_of_the_rows(alone, monkeypatch):
             assert explain.shapley_batch(x, tables) == pytest.approx(looked_up, abs=1e-12)
 
 
+def test_long_paths_are_credited_by_class(alone):
+    """Rows that are inside the same features of a path are credited once."""
+    x, _ = rows_of(9, 800)
+    x[::50, 1] = np.nan
+    for tree in [*alone[0][:3], *alone[2], *alone[3]]:
+        widest = explain.widest_path(tree)
+        assert widest == max(t[0].shape[1] for t in explain.leaf_tables(tree))
+        assert explain.shapley_by_class(x, tree, widest, 0.5) == pytest.approx(explain.shapley_batch(x, explain.leaf_tables(tree, 0.5)), abs=1e-12)
+    rng, width = np.random.default_rng(4), 12  # a path of twelve features, two of them tested twice
+    order = [*range(width), 3, 7]
+    nodes = {"feature": [], "threshold": [], "left": [], "right": [], "value": [], "cover": []}
+    for i, f in enumerate(order):
+        for column, cells in zip(nodes.values(), ((f, 0), (0.3 if i >= width else 0.5, 0.0), (2 * i + 2, -1), (2 * i + 1, -1), (0.0, rng.normal()), (2.0 ** -i, 2.0 ** -i * 0.4))):
+            column += cells
+    count = 2 * len(order) + 1
+    for column, last in zip(nodes.values(), (0, 0.0, -1, -1, 1.0, 2.0 ** -len(order))):
+        column.append(last)
+    tree = trees.Tree(nodes["feature"], np.zeros(count), nodes["threshold"], nodes["left"], nodes["right"], nodes["value"], nodes["cover"], np.zeros(count))
+    x = rng.random((300, width))
+    assert explain.widest_path(tree) == width > explain.PATTERN_WIDTH
+    assert explain.shapley_by_class(x, tree, width) == pytest.approx(explain.shapley_batch(x, explain.leaf_tables(tree)), abs=1e-12)
+
+
+def test_trees_with_long_paths_are_dealt_out(table, monkeypatch):
+    """Blocks of rows and trees go to tasks of their own; rows that repeat a key, or have none, stay as they are."""
+    rows = table.withColumn("key", F.when(F.col("x2") > 0, F.col("x2").cast("string")))
+    model = training.train(rows, {"kind": "forest", "n_estimators": 5, "max_depth": 6}, FEATURES)
+    listed = lambda df: sorted((str(r["key"]), *r["feature_values"], r["base"], *np.round(r["contributions"], 12)) for r in df.collect())
+    want = listed(explain.explain(rows, model, "key", FEATURES))
+    monkeypatch.setattr(explain, "PATTERN_WIDTH", 0)
+    monkeypatch.setattr(explain, "BLOCK_ROWS", 400)
+    dealt, spread = [], explain._spread
+    monkeypatch.setattr(explain, "_spread", lambda *args: dealt.append(args) or spread(*args))
+    got = explain.explain(rows, model, "key", FEATURES)
+    assert len(dealt) == 1 and got.columns == ["key", "feature_values", "base", "contributions"]
+    assert np.allclose([r[1:] for r in listed(got)], [r[1:] for r in want], atol=1e-11) and len(want) == 1500
+    assert explain.explain(rows.limit(0), model, "key", FEATURES).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["vote", "stack"])
 def test_ensembles_are_explained(table, kind):
     members = ({"kind": "logistic"}, {"kind": "forest", "n_estimators": 3, "max_depth": 4},
